@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from vellum.llm import common
 
-CACHE_ENTRIES, CACHE_CHARS, LONG_BYTES = 300_000, 48, 256
+CACHE_ENTRIES, CACHE_CHARS, LONG_BYTES = 400_000, 48, 256
 NONE = np.int32(2**31 - 1)
 #: White space but for the plain space.
 SPACES = [c for c in map(chr, range(1, 0x3001)) if c.isspace() and c != " "]

@@ -85,6 +85,10 @@ def ordered_blocks(df: DataFrame, key: str, n: int, weight: Column | None = None
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.least(block, F.lit(n - 1))).cast("int")
 
 
+def arrow_schema(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The rows that no label may be learnt from: crc32 of the id's text leaves 2 on division by 4. A null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
