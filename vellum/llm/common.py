@@ -106,7 +106,7 @@ def slices(sizes: list[int], budget: int = 1 << 20, rows: int = 1024) -> Iterato
         yield start, len(sizes)
 
 
-def arrow_map(df: DataFrame, carry: list[str], text_col: str, out: T.StructType, make: Callable[[], Callable]) -> DataFrame:
+def arrow_map(df: DataFrame, carry: list[str], text_col: str, out: T.StructType, make: Callable[[], Callable], slice_bytes: int = 1 << 20) -> DataFrame:
     """Appends columns that Python computes from one text or binary column, in Arrow batches.
 
     `make()` runs once a task and gives a function from a list of values to one list a column of `out`.
@@ -125,7 +125,7 @@ def arrow_map(df: DataFrame, carry: list[str], text_col: str, out: T.StructType,
         for batch in batches:
             values = batch.column(width)
             lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
-            for a, b in slices(lengths):
+            for a, b in slices(lengths, slice_bytes, 4096):
                 made = work(values.slice(a, b - a).to_pylist())
                 arrays = [batch.column(i).slice(a, b - a) for i in range(width)]
                 arrays += [m if isinstance(m, pa.Array) else pa.array(m, type=k) for m, k in zip(made, kinds, strict=True)]
