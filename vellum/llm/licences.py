@@ -1,8 +1,8 @@
 """Licence scan: canonical digests of whole texts and of their lines, hash-joined to known licences.
 
-Canonical form: compatibility-free lower case, copyright lines dropped, equivalent spellings made one, everything but
-letters and digits made single spaces. A text is a licence if its canonical form's digest is a known one; each line that
-is a known notice counts as well. DataFrame functions only.
+Canonical form, by line: copyright lines dropped, lower case, equivalent spellings made one, everything but letters and
+digits made single spaces; a text's form is its lines' joined by a space. A text is a licence if its form's digest is a
+known one; each line that is a known notice counts as well. DataFrame functions only.
 
 Cases: null, empty and blank texts have a null digest and match nothing; repeated rows each keep their row; a null
 doc_id keeps its row too; an empty table gives an empty result; texts are whole, however long; extra columns are ignored.
@@ -19,7 +19,7 @@ from vellum.llm import common
 BROADCAST_ROWS = 200_000
 
 # A copyright line, and spellings that licences use for the same thing (RE2 and Java alike), in order.
-COPYRIGHT_LINE = r"(?i)^[^a-z0-9]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = r"(?i)^[^a-z0-9]*(copyright|\(c\)|©)"
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
     ("http:", "https:"), ("&", " and "), ("per cent", "percent"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("whilst", "while"),
@@ -46,38 +46,63 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null where nothing is left."""
-    out = F.lower(F.regexp_replace(text, "(?m)" + COPYRIGHT_LINE, " "))
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
-    return F.when(out != "", out)
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line, in order; lines that leave nothing are left out."""
+
+    def line(x: Column) -> Column:
+        out = F.lower(x)
+        for old, new in SPELLINGS:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.rlike(x, F.lit(COPYRIGHT_LINE)))
+    return F.filter(F.transform(kept, line), lambda x: x != "")
+
+
+def digest(lines: Column) -> Column:
+    """Digest of a text by its canonical lines; null where nothing is left."""
+    return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(known_digest, licence) of canonical digests; a digest that two names claim goes to the first by name."""
     rows = spark.createDataFrame(NOTICES + TEXTS if texts is None else texts, "licence string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("known_digest"), "licence").where("known_digest IS NOT NULL").groupBy("known_digest").agg(F.min("licence").alias("licence"))
+    return rows.select(digest(canonical_lines(F.col("text"))).alias("known_digest"), "licence").where("known_digest IS NOT NULL").groupBy("known_digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, text_licence, line_licences, n_licence_lines): the licence that the whole text is, if any, and those of its lines.
+    """(doc_id, digest, text_licence, line_licences, n_licence_lines): the licence that the whole text is, if any; the
+    names and the number of the different known lines in it.
 
-    Lines that can't be a known one by length are not digested. Only matching lines are shuffled, to their document's row.
+    Known digests are few, so both joins hash them; only lines that match are shuffled, to their document's row.
     """
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.split("text", "\n").alias("lines"), F.col("text").isNotNull().alias("there"))
-    whole = rows.join(known, rows["digest"] == known["known_digest"], "left").select("doc_id", "digest", F.col("licence").alias("text_licence"))
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.explode(F.split("text", "\n")).alias("line"))
-    named = lines.select("doc_id", "digest", F.sha2(canonical(F.col("line")), 256).alias("line_digest")).join(known, F.col("line_digest") == known["known_digest"])
-    found = named.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("licence")).alias("line_licences"), F.count("*").alias("hits"))
-    copies = whole.groupBy("doc_id", "digest", "text_licence").agg(F.count("*").alias("copies"))
-    joined = copies.join(found.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "line_licences", "hits"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("digest").eqNullSafe(F.col("d")), "left")
-    each = joined.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", "digest", "text_licence", F.array_join(F.coalesce("line_licences", F.array().cast("array<string>")), ",").alias("line_licences"), F.coalesce(F.col("hits") / F.col("copies").cast("long") * 0 + F.col("hits"), F.lit(0)).cast("long").alias("n_licence_lines"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw"), canonical_lines(F.col(text_col)).alias("lines"))
+    rows = rows.select("doc_id", "raw", digest(F.col("lines")).alias("digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("line_digests"))
+    whole = rows.join(known, rows["digest"] == known["known_digest"], "left").select("doc_id", "raw", "digest", F.col("licence").alias("text_licence"))
+    lines = rows.select("doc_id", "raw", F.explode("line_digests").alias("line_digest")).join(known, F.col("line_digest") == known["known_digest"])
+    found = lines.groupBy(F.col("doc_id").alias("i"), F.col("raw").alias("r")).agg(F.collect_set(F.struct("line_digest", "licence")).alias("found"))  # no more than are known
+    joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("raw").eqNullSafe(F.col("r")), "left")
+    names = F.sort_array(F.array_distinct(F.transform("found", lambda x: x["licence"])))
+    return joined.select("doc_id", "digest", "text_licence", F.coalesce(F.array_join(names, ","), F.lit("")).alias("line_licences"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licence_lines"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.documents(spark, sf_dir), known_licences(spark))
+    return scan(common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known_licences(spark))
+
+
+def sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    line = "lower(x)"
+    for old, new in SPELLINGS:
+        line = f"replace({line}, {quoted(old)}, {quoted(new)})"
+    lines = lambda text: f"list_filter(list_transform(list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_matches(x, {quoted(COPYRIGHT_LINE)})), lambda x: trim(regexp_replace({line}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda x: x <> '')"
+    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in NOTICES + TEXTS)
+    return f"""
+WITH known AS (SELECT sha256(array_to_string({lines("t")}, ' ')) AS known_digest, min(licence) AS licence FROM (VALUES {values}) v(licence, t) GROUP BY 1),
+rows AS (SELECT doc_id, row_number() OVER () AS n, {lines("text")} AS lines FROM documents),
+found AS (SELECT n, list(DISTINCT licence ORDER BY licence) AS names, count(DISTINCT known_digest) AS hits
+  FROM (SELECT n, unnest(lines) AS line FROM rows) l JOIN known ON sha256(line) = known_digest GROUP BY n)
+SELECT doc_id, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS digest, k.licence AS text_licence,
+  coalesce(array_to_string(names, ','), '') AS line_licences, coalesce(hits, 0)::BIGINT AS n_licence_lines
+FROM rows LEFT JOIN known k ON len(lines) > 0 AND sha256(array_to_string(lines, ' ')) = k.known_digest LEFT JOIN found USING (n)"""
