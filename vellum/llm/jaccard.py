@@ -7,10 +7,12 @@ principle), and every subset of one cell gives a signature: sets that differ in
 three cells. Cells with no element say little, so they sign only as subsets of three, by sets with at least three such cells;
 any two similar sets still share a signature.
 
-Signatures travel packed: a slice of a table sends each distinct signature once with one of its sets, and keeps stars
-around it for the others, so a signature of very many sets costs a row a slice. Pairs around a pivot of each signature
-are compared exactly on their whole texts; signatures whose sets don't fall into one component yet are paired again
-around other pivots until none is left, so no link is lost and no group is expanded into all its pairs.
+Signatures travel packed: a slice of a table sends each distinct signature once with one of its sets, and sends its
+others apart, so a signature of very many sets costs a row a slice. Each set is first compared, on whole texts, with the
+pivot it shares most signatures with, which links nearly all copies. Signatures whose sets then don't fall into one
+component are paired within blocks of at most `BLOCK` sets; parity bitmaps, whose distance never exceeds the sets',
+drop pairs that can't be similar, and the others are compared on whole texts, nearest first, until none is left. So no
+link is lost and copies are not expanded into all their pairs.
 
 Cases: null, empty and blank texts have the empty set and link with nothing; shorter texts than a shingle have one
 element; a null id has the component null, and a set that only
@@ -33,8 +35,10 @@ from vellum.llm import common, packed
 from vellum.llm.components import connected_components
 
 SLICE_BYTES = 8 << 20
-#: Cells beyond k, and what a bucket may hold to be paired fully instead of around pivots.
-SPARE, FULL_BUCKET = 2, 16
+#: Cells beyond k; sets that one task pairs of a signature's; pairs of a set with another component in the first round; bits of a bitmap.
+SPARE, BLOCK, NEAREST, BITS = 2, 2000, 4, 512
+#: Up to so many sets of a signature are paired by column expressions, without a call of Python.
+FEW = 8
 #: Documents picked by id are found by a broadcast of their ids up to this many rows (16 bytes each), else by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -60,6 +64,12 @@ class Shingles:
     def set(self, i: int) -> np.ndarray:
         return self.values[self.at[i] : self.at[i + 1]]
 
+    def bitmaps(self) -> np.ndarray:
+        """(texts, words of 64 bits): the parity of the elements that fall on each bit."""
+        bit = (packed.mix(self.values ^ np.uint64(BITS)) & np.uint64(BITS - 1)).astype(np.int64)
+        odd = np.bincount(self.doc * BITS + bit, minlength=len(self.size) * BITS).reshape(-1, BITS) & 1
+        return np.packbits(odd.astype(np.uint8), axis=1)
+
     def key(self, i: int) -> bytes | None:
         return hashlib.blake2b(self.set(i).tobytes(), digest_size=16).digest() if self.size[i] else None
 
@@ -122,13 +132,13 @@ def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: i
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, key): the key is a 128-bit digest of the set, null for the empty set."""
-    out = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType())])
+    """(doc_id, n_shingles, key, bitmap): the key is a 128-bit digest of the set, null for the empty set."""
+    out = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bitmap", T.ArrayType(T.LongType()))])
 
     def make():
         def work(texts):
             sets = Shingles(texts, n)
-            return sets.size.tolist(), [sets.key(i) for i in range(len(texts))]
+            return sets.size.tolist(), [sets.key(i) for i in range(len(texts))], sets.bitmaps().view(np.int64).tolist()
 
         return work
 
@@ -232,54 +242,86 @@ def _compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def _pairs(members: DataFrame, seed: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) to compare, and the rows of `members` (sig, key, size, comp) whose pairs are not all among them."""
-    row = F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", "size", "comp")
-    stats = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(row).alias("p")).where("lo <> hi")
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    live = members.join(stats, "sig")
-    small = live.where(F.col("n") <= FULL_BUCKET).groupBy("sig").agg(F.collect_list(F.struct("key", "size", "comp")).alias("all"))
-    full = small.select(F.explode("all").alias("l"), "all").select("l", F.explode("all").alias("r")).where((F.col("l.key") < F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & near(F.col("l.size"), F.col("r.size"))).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
-    large = live.where(F.col("n") > FULL_BUCKET)
-    star = large.where((F.col("key") != F.col("p.key")) & (F.col("comp") != F.col("p.comp")) & near(F.col("size"), F.col("p.size"))).select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"))
-    rest = large.where(F.col("key") != F.col("p.key")).select("sig", "key", "size")
-    return full.union(star).distinct(), rest
+def _near_pairs(percent: int, nearest: int):
+    """Pairs (a, b) of sets of different components in two blocks of a signature that bitmaps don't rule out, at most
+    `nearest` for a set and another component; `more` says that some were left for later."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, size, comp = (table.column(c).to_numpy() for c in ("key", "size", "comp"))
+        block, bits = table.column("block").to_numpy(), table.column("bitmap").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+        left, right = block == block.min(), block == block.max()
+        rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+        a, b, more = [], [], False
+        for part in np.array_split(rows, max(1, len(rows) // 256)):
+            far = np.zeros((len(part), len(columns)), np.int32)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(bits[part, w][:, None] ^ bits[columns, w])
+            total = size[part][:, None] + size[columns]
+            may = (far <= (100 - percent) * total // (100 + percent)) & (comp[part][:, None] != comp[columns]) & (100 * np.minimum(size[part][:, None], size[columns]) >= percent * np.maximum(size[part][:, None], size[columns]))
+            x, y = np.nonzero(may)
+            if not len(x):
+                continue
+            other = comp[columns[y]]
+            order = np.lexsort((key[columns[y]], far[x, y], other, x))
+            x, y, other = x[order], y[order], other[order]
+            new = np.append(True, (x[1:] != x[:-1]) | (other[1:] != other[:-1]))
+            at = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            keep = at < nearest
+            more = more or not keep.all()
+            a.append(key[part[x[keep]]])
+            b.append(key[columns[y[keep]]])
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "more": pa.array(np.full(len(pairs), more))})
+
+    return run
+
+
+def _pairs(members: DataFrame, bitmaps: DataFrame, nearest: int, percent: int) -> DataFrame:
+    """(a, b, more) of signatures (sig, key, size, comp) that span components, in blocks of at most about `BLOCK` sets."""
+    stats = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    live = members.join(stats.select("sig", "n"), "sig").join(bitmaps, "key")
+
+    def similar(x, y):
+        far = F.aggregate(F.zip_with(x["bitmap"], y["bitmap"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+        near = 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+        return (x["key"] < y["key"]) & (x["comp"] != y["comp"]) & near & (far * (100 + percent) <= (100 - percent) * (x["size"] + y["size"]))
+
+    few = live.where(F.col("n") <= FEW).groupBy("sig").agg(F.collect_list(F.struct("key", "size", "comp", "bitmap")).alias("all"))
+    paired = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: similar(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
+    native = few.select(F.explode(paired).alias("p")).select("p.a", "p.b", F.lit(False).alias("more"))
+    many = live.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", "key", "size", "comp", "bitmap", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    packed_ = dealt.groupBy("sig", "i", "j").applyInArrow(_near_pairs(percent, nearest), "a long, b long, more boolean")
+    return native.union(packed_).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def similar_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union of their shingle sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = common.materialise(shingle_sets(docs.withColumn("text", F.col("text").cast("binary")), n), "sets")
-    classes = common.materialise(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("smallest"), F.max("n_shingles").alias("n_shingles")), "classes")
+    classes = common.materialise(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("smallest"), F.max("bitmap").alias("bitmap")), "classes")
     keyed = classes.withColumn("short", _short(F.col("key")))
     members = common.materialise(memberships(docs, n, percent), "members")
 
-    links, tested, texts, open_, seed = None, None, None, members, 0
-    while True:
-        if links is None:
-            # First, only each set's most shared pivot: it links nearly all copies at one comparison a set.
-            pivot = open_.groupBy("sig").agg(F.min(F.struct("key", "size")).alias("p"))
-            near = (100 * F.least("size", "p.size") >= percent * F.greatest("size", "p.size")) & (F.col("key") != F.col("p.key"))
-            counted = open_.join(pivot, "sig").where(near).groupBy("key", F.col("p.key").alias("other")).count()
-            best = counted.groupBy("key").agg(F.max_by("other", F.struct("count", -F.col("other"))).alias("other"))
-            pairs, rest = best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), open_
-        else:
-            labels = connected_components(links)
-            marked = open_.join(labels, open_["key"] == labels["node"], "left").select("sig", "key", "size", F.coalesce("component", "key").alias("comp"))
-            pairs, rest = _pairs(common.materialise(marked, "marked"), seed, percent)
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs, seed = common.materialise(pairs, "pairs"), seed + 1
-        if seed > 1:
-            open_ = common.materialise(rest, "open")
-        if pairs.isEmpty():
-            if links is not None and open_.isEmpty():
-                break
-            if links is not None:
-                continue
-        texts = _texts(docs, keyed, pairs, n)
-        found = common.materialise(_compare(texts, pairs, n, percent), "links")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
+    # Each set's most shared pivot: it links nearly all copies at one comparison a set.
+    pivot = members.groupBy("sig").agg(F.min(F.struct("key", "size")).alias("p"))
+    near = (100 * F.least("size", "p.size") >= percent * F.greatest("size", "p.size")) & (F.col("key") != F.col("p.key"))
+    counted = members.join(pivot, "sig").where(near).groupBy("key", F.col("p.key").alias("other")).count()
+    best = counted.groupBy("key").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    tested = common.materialise(best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
+    links = common.materialise(_compare(_texts(docs, keyed, tested, n), tested, n, percent), "links")
+    nearest, more = NEAREST, True
+    while more:
+        labels = connected_components(links)
+        marked = members.join(labels, members["key"] == labels["node"], "left").select("sig", "key", "size", F.coalesce("component", "key").alias("comp"))
+        found = common.materialise(_pairs(common.materialise(marked, "marked"), keyed.select(F.col("short").alias("key"), "bitmap"), nearest, percent), "pairs")
+        more = bool(found.agg(F.max("more")).first()[0])
+        pairs = common.materialise(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = links.union(common.materialise(_compare(_texts(docs, keyed, pairs, n), pairs, n, percent), "links"))
+            tested = tested.union(pairs)
+        nearest *= 8
 
     # Components of short keys become those of ids; sets alike in 64 bits but not in 128 can't link here by mistake: each link was compared by text.
     labels = connected_components(links)
