@@ -5,7 +5,7 @@
    a window says whether an earlier block has it. That confirms which passages recur, in one shuffle of under 8 bytes a
    distinct window whatever the skew: a window counts once a block however often it occurs.
 3. In each block the recurring passages, cut into windows that cover them, are compiled into one Aho-Corasick automaton
-   over the block's word numbers (a shard), and all its documents are streamed through it to locate every occurrence.
+   over the block's word numbers (a shard), and all its documents that hold any are streamed through it to locate every occurrence.
 
 Cases: null, empty and blank texts have no words and lose none; texts of fewer words than a window lose none; of
 repeated rows with one id none is earlier than another; null ids count as smaller than all others; an empty table gives
@@ -75,10 +75,11 @@ def _locate(window: int, parts: int, carry: list[str], text: bool):
         again = places[seen[inverse] < ranks[words.doc[places]]] if len(places) else places
         automaton = _compile(again, words, window, dict(zip(places.tolist(), seen[inverse].tolist(), strict=True)) if len(again) else {})
         out = {f.name: [] for f in OUTPUT.fields}
+        has = np.bincount(words.doc[again], minlength=len(words.lists)) > 0
         for i, ws in enumerate(words.lists):
             own = words.ids[words.at[i] : words.at[i + 1]]
             gone = np.zeros(len(own) + 1, np.int64)
-            if automaton is not None and len(own) >= window:
+            if automaton is not None and has[i]:  # a document without a recurring window can't match
                 rank = ranks[i]
                 for end, earliest in automaton.iter(tuple(own.tolist())):
                     if earliest < rank:
