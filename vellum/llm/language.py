@@ -107,9 +107,9 @@ class Labeller:
     def __init__(self, model: dict):
         self.model, self.width = model, len(model["langs"])
         self.gram = {g: i for i, g in enumerate(model["grams"], 1)}
-        self.gram_scores = np.array([model["floor"], *model["grams"].values()], np.float32).reshape(-1, self.width)
+        self.gram_scores = np.array([model["floor"], *model["grams"].values()], np.float32).reshape(len(self.gram) + 1, self.width)
         self.scripts = list(model["scripts"])
-        self.admitted = np.array([*model["scripts"].values(), np.ones(self.width, bool)], bool).reshape(-1, self.width)
+        self.admitted = np.array([*model["scripts"].values(), np.ones(self.width, bool)], bool).reshape(len(self.scripts) + 1, self.width)
         self.clear()
 
     def clear(self) -> None:
