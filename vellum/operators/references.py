@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -44,15 +44,20 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/vellum/{spark.sparkContext.applicationId}/frontier-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vellum/{spark.sparkContext.applicationId}/frontier-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

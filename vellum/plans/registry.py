@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import compare, library, references
+from vellum.sources import archives, elements
+from vellum.streaming import ledger
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -124,6 +126,23 @@ def _merge(spark, sf):
     return compare.merge_plan(p.select(references.site_path(F.col("url")).alias("name"), F.col("page_id").alias("copy"), F.sha2("html", 256).alias("digest"), (F.col("page_id") % 5 != 2).alias("ok")))
 
 
+def _parts(spark, sf):
+    """The pages as the files of books: a book by hundreds of ids, names as careless tools write them."""
+    p = _t(spark, sf, "pages")
+    name = F.concat(F.when(F.col("page_id") % 3 == 0, "./text/").when(F.col("page_id") % 3 == 1, "/text\\\\x\\\\..\\\\").otherwise("C:/text//"), F.col("page_id").cast("string"), F.lit(".html"))
+    return p.select(F.floor(F.col("page_id") / 100).cast("string").alias("book"), name.alias("name"), F.encode("html", "UTF-8").alias("data"))
+
+
+def _scanned(spark, sf):
+    found = archives.entries(archives.pack(_parts(spark, sf)), "book", with_data=False)
+    return found.select("book", "name", "size", "ok", "digest")
+
+
+def _windows(spark, sf):
+    stream = ledger.drop_folder(spark, sf, _t(spark, sf, "events").schema, "events.parquet")
+    return ledger.counted(stream, {"day": F.date_format(ledger.tumbling(F.col("ts"), "1 day"), "yyyy-MM-dd"), "event_type": F.col("event_type")})
+
+
 def _text(fn):
     return lambda spark, sf: fn(_t(spark, sf, "documents"))
 
@@ -151,6 +170,9 @@ def queries() -> dict:
         "notice_phrases": _text(lambda d: d.where(tx.has_notice(F.col("text"))).select("doc_id")),
         "slugs_unique": lambda s, d: _t(s, d, "part").groupBy(tx.slug(F.col("p_name")).alias("slug")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")),
         "tag_shape": lambda s, d: _t(s, d, "pages").select(F.explode(F.regexp_extract_all(F.lower("html"), F.lit("<([a-z][a-z0-9]*)[ >]"), 1)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")),
+        "archive_entries": _scanned,
+        "event_windows_stream": _windows,
+        "element_tags": lambda s, d: elements.elements(_t(s, d, "pages")).groupBy("tag").agg(F.count("*").alias("n")),
         "level_jumps": lambda s, d: library.level_jumps(_t(s, d, "conversations").select("conv_id", "turn", F.pmod(F.length("text"), F.lit(5)).alias("level")), "conv_id", "turn", "level"),
         "link_edges": _links,
         "dangling_links": lambda s, d: references.dangling(_links(s, d).where("target IS NOT NULL"), _t(s, d, "pages").select(F.regexp_replace(references.site_path(F.col("url")), "^/", "").alias("target")).distinct()).groupBy("target").agg(F.count("*").alias("n")),
@@ -215,6 +237,9 @@ SELECT family, want::BIGINT AS want, coalesce(have, 0)::BIGINT AS have, greatest
         "notice_phrases": f"SELECT doc_id FROM documents WHERE {NOTICE_SQL}",
         "slugs_unique": "SELECT regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1",
         "tag_shape": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY 1",
+        "archive_entries": "SELECT (page_id // 100)::VARCHAR AS book, 'text/' || page_id || '.html' AS name, strlen(html)::BIGINT AS size, true AS ok, sha256(html) AS digest FROM pages",
+        "event_windows_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2",
+        "element_tags": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g')), '<([a-z][a-z0-9]*)[ >/]', 1)) AS tag FROM pages) GROUP BY 1",
         "level_jumps": "SELECT conv_id, count(*) FILTER (level > before + 1) AS jumps FROM (SELECT conv_id, length(text) % 5 AS level, lag(length(text) % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1",
         "link_edges": links,
         "dangling_links": f"SELECT target, count(*) AS n FROM ({links}) WHERE target IS NOT NULL AND target NOT IN (SELECT regexp_replace({site}, '^/', '') FROM pages) GROUP BY 1",
