@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import compare, library, references
+from vellum.plans import books
 from vellum.sources import archives, elements
 from vellum.streaming import ledger
 
@@ -189,7 +190,7 @@ def queries() -> dict:
         "merge_plan": _merge,
         "change_summary": _changes,
         "quota_star": lambda s, d: library.coverage(_t(s, d, "customer").select(F.col("c_mktsegment").alias("family")), s.createDataFrame([("BUILDING", 300), ("MACHINERY", 250), ("NONE", 9)], "family string, want long")),
-    }
+    } | books.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -261,4 +262,4 @@ SELECT run, version, books, modes, clean, widened, sum(fresh) OVER (PARTITION BY
         "merge_plan": f"SELECT {site} AS name, min(page_id) FILTER (page_id % 5 <> 2) AS take, count(*) AS copies, count(DISTINCT sha256(html)) FILTER (page_id % 5 <> 2) > 1 AS conflict, min(page_id) FILTER (page_id % 5 <> 2) IS NULL AS missing FROM pages GROUP BY 1",
         "change_summary": "SELECT event_type AS action, CASE WHEN value > 50 THEN 'content' ELSE 'none' END AS risk, count(*) AS n, count(*) FILTER (user_id % 3 = 0) AS irreversible FROM events GROUP BY GROUPING SETS ((event_type, CASE WHEN value > 50 THEN 'content' ELSE 'none' END), (event_type), (CASE WHEN value > 50 THEN 'content' ELSE 'none' END), ())",
         "quota_star": "SELECT family, want::BIGINT AS want, count(c_custkey) AS have, greatest(0, want - count(c_custkey))::BIGINT AS short FROM (VALUES ('BUILDING', 300), ('MACHINERY', 250), ('NONE', 9)) q(family, want) LEFT JOIN customer ON c_mktsegment = family GROUP BY family, want",
-    }
+    } | books.oracle_sql()
