@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import values
 from vellum.operators import sequences, styles
-from vellum.sources import packages, stylesheets
+from vellum.sources import binaries, packages, stylesheets
 
 
 def _values(spark, f, given):
@@ -70,3 +70,29 @@ def test_package(spark):
     assert [tuple(r)[2:] for r in points.orderBy("pre").collect()] == [(0, None, 0, "One", "ops/a b.xhtml", "x"), (1, 0, 1, "Two", None, None), (2, None, 0, "3", "no.xhtml", None)]
     got = {(r["rule"], r["subject"]) for r in packages.violations(parts, points, entries.where("book = 'b'")).collect()}
     assert got == {("manifest-missing", "ops/gone.css"), ("spine-unknown", "lost"), ("navigation-missing", "no.xhtml"), ("unlisted", "extra.txt"), ("repeated-id", "a")}
+
+
+def test_package_round_trip_order_and_cover(spark):
+    book = spark.createDataFrame([("b", "p.opf", PACKAGE)], "book string, name string, data binary")
+    parts = packages.packages(book)
+    again = packages.packages(packages.package_text(parts).select("book", F.lit("p.opf").alias("name"), F.col("text").cast("binary").alias("data")))
+    # The one path outside the archive's root is the navigation's, which is read as a name at the root both times.
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, parts.collect())) == sorted(map(key, again.collect()))
+    names = spark.createDataFrame([("b", f"c{i}.xhtml") for i in (10, 9, 2)] + [("b", "a b.xhtml"), ("b", "x.png")], "book string, name string")
+    points = packages.navigation(spark.createDataFrame([("b", "n", b'<nav role="doc-toc"><ol><li><a href="c10.xhtml">x</a></li></ol></nav>')], "book string, name string, data binary"))
+    assert [r["path"] for r in packages.recovered_order(points, parts, names).orderBy("ord").collect()] == ["c10.xhtml", "a b.xhtml", "c2.xhtml", "c9.xhtml"]
+    covers = packages.packages(spark.createDataFrame([("b", "p", b'<p><metadata><meta name="cover" content="i"/></metadata><manifest><item id="k" href="cover.png" media-type="image/png"/><item id="i" href="a.png"/></manifest></p>')], "book string, name string, data binary"))
+    assert [tuple(r) for r in packages.cover(covers, points).collect()] == [("b", "a.png")]
+
+
+def test_first_bytes_and_hidden_fonts(spark):
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000000070000000901")
+    rows = spark.createDataFrame([(1, png), (2, b"GIF89a\x05\x00\x06\x01"), (3, b"RIFF0000WEBPx"), (4, b""), (5, None), (6, b"OTTOx" * 500)], "i int, data binary").withColumn("key", binaries.book_key(F.lit(" urn:x y ")))
+    got = rows.orderBy("i").select(binaries.image_kind(F.col("data")), binaries.image_size(F.col("data")), binaries.font_kind(F.col("data"))).collect()
+    assert [r[0] for r in got] == ["png", "gif", "webp", None, None, None]
+    assert [r[1] and tuple(r[1]) for r in got] == [(7, 9), (5, 262), None, None, None, None]
+    assert got[5][2] == "otf"
+    hidden = binaries.unhidden(rows)
+    assert hidden.where("i = 6").first()["data"][:1040] != (b"OTTOx" * 500)[:1040] and hidden.where("i = 6").first()["data"][1040:] == (b"OTTOx" * 500)[1040:]
+    assert [r["data"] for r in binaries.unhidden(hidden).orderBy("i").collect()] == [r["data"] for r in rows.orderBy("i").collect()]

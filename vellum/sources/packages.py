@@ -144,3 +144,59 @@ def violations(parts: DataFrame, points: DataFrame, entries: DataFrame) -> DataF
     for more in found[1:]:
         out = out.union(more)
     return out.distinct()
+
+
+def natural_key(path):
+    """A path that sorts as people count: every number padded to the same width (column expression)."""
+    pieces = F.regexp_extract_all(F.lower(path), F.lit(r"(\d+|\D+)"), 1)
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(r"^\d")), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def recovered_order(points: DataFrame, parts: DataFrame, entries: DataFrame, suffixes: str = r"\.x?html?$") -> DataFrame:
+    """(book, ord, path): an order of reading for books without one: as navigation has it, then the manifest, then by name."""
+    documents = entries.where("name IS NOT NULL").where(F.rlike(F.lower("name"), F.lit(suffixes))).select("book", F.col("name").alias("path")).distinct()
+    nav = points.where("path IS NOT NULL AND section = 'toc'").select("book", "path", F.lit(0).alias("rank"), F.col("pre").alias("at"))
+    listed = parts.where("part = 'manifest' AND path IS NOT NULL").select("book", "path", F.lit(1), "ord")
+    every = nav.union(listed).union(documents.select("book", "path", F.lit(2), F.lit(0))).groupBy("book", "path").agg(F.min(F.struct("rank", "at")).alias("place"))
+    known = every.join(documents, ["book", "path"])
+    by = Window.partitionBy("book").orderBy("place", natural_key(F.col("path")), "path")
+    return known.select("book", (F.row_number().over(by) - 1).alias("ord"), "path")
+
+
+def cover(parts: DataFrame, points: DataFrame) -> DataFrame:
+    """(book, path): each book's cover: the item with that property, else the one its metadata names, else a landmark, else
+    an image with `cover` in its name."""
+    items = parts.where("part = 'manifest' AND path IS NOT NULL").select("book", "id", "path", "media_type", "properties", "ord")
+    named = parts.where("part = 'metadata' AND name = 'cover'").select("book", F.col("value").alias("id"))
+    picture = F.col("media_type").startswith("image/") & F.contains(F.lower("path"), F.lit("cover"))
+    found = items.where(F.array_contains("properties", "cover-image")).select("book", "path", F.lit(0).alias("rank"), "ord")
+    found = found.union(items.join(named, ["book", "id"]).select("book", "path", F.lit(1), "ord"))
+    found = found.union(points.where("section = 'landmarks' AND path IS NOT NULL").where(F.contains(F.lower("label"), F.lit("cover"))).select("book", "path", F.lit(2), "pre"))
+    found = found.union(items.where(picture).select("book", "path", F.lit(3), "ord"))
+    return found.groupBy("book").agg(F.min_by("path", F.struct("rank", "ord", "path")).alias("path"))
+
+
+def _escaped(c):
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
+def package_text(parts: DataFrame) -> DataFrame:
+    """(book, text): package documents written from rows of `SCHEMA`, in the order of `ord`, whose paths are relative to the
+    archive and names to the Dublin Core; equal rows give equal text."""
+    attr = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), _escaped(c), F.lit('"')), F.lit(""))
+    refined = F.coalesce(F.concat(F.lit("#"), F.col("path")), F.lit(None))
+    element = F.concat(F.lit("<dc:"), F.col("name"), attr("id", F.col("id")), F.lit(">"), _escaped(F.col("value")), F.lit("</dc:"), F.col("name"), F.lit(">"))
+    meta = F.concat(F.lit("<meta"), attr("refines", refined), attr("property", F.col("name")), F.lit(">"), _escaped(F.col("value")), F.lit("</meta>"))
+    properties = F.nullif(F.array_join("properties", " "), F.lit(""))
+    href = F.array_join(F.transform(F.split("path", "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
+    item = F.concat(F.lit("<item"), attr("id", F.col("id")), attr("href", href), attr("media-type", F.col("media_type")), attr("fallback", F.col("fallback")), attr("properties", properties), F.lit("/>"))
+    ref = F.concat(F.lit("<itemref"), attr("idref", F.col("id")), F.when(F.col("linear"), "").otherwise(' linear="no"'), attr("properties", properties), F.lit("/>"))
+    dublin = F.rlike("name", F.lit("^[a-z]+$")) & F.col("path").isNull()
+    line = F.when(F.col("part") == "metadata", F.when(dublin, element).otherwise(meta)).when(F.col("part") == "manifest", item).otherwise(ref)
+    rows = parts.select("book", "part", "ord", line.alias("line"))
+    body = lambda part: F.array_join(F.transform(F.filter("rows", lambda r: r["part"] == part), lambda r: r["line"]), "")
+    held = rows.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "line"))).alias("rows"))
+    head = '<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+    return held.select("book", F.concat(F.lit(head), body("metadata"), F.lit("</metadata><manifest>"), body("manifest"), F.lit("</manifest><spine>"), body("spine"), F.lit("</spine></package>")).alias("text"))
