@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import values
 from vellum.operators import sequences, styles
-from vellum.sources import packages, stylesheets
+from vellum.sources import encodings, packages, stylesheets
 
 DATES = """CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT08:09:10Z')
  WHEN 3 THEN strftime(o_orderdate, '%Y-%m') WHEN 4 THEN 'printed in ' || strftime(o_orderdate, '%Y') || ', revised' ELSE 'undated' END"""
@@ -149,6 +149,7 @@ def queries() -> dict:
         "quote_convention": lambda s, d: sequences.quote_convention(_t(s, d, "documents").where("source IS NOT NULL").withColumn("text", F.expr(QUOTED)), "source"),
         "ids_unique": _ids,
         "found_by_spelling": _spelling,
+        "characters_lost": lambda s, d: encodings.losses(_t(s, d, "documents").select("doc_id", "text", F.expr("left(text, CAST(doc_id % 900 AS INT))").alias("cut")), ["doc_id"], "text", "cut"),
     }
 
 
@@ -197,6 +198,8 @@ SELECT book, CASE WHEN a + b + c = 0 OR (a + b + c) * 2 < n THEN 'UNKNOWN' WHEN
         "quote_convention": f"""WITH c AS (SELECT source, {counted} FROM (SELECT source, {QUOTED} AS t FROM documents WHERE source IS NOT NULL) GROUP BY source), s AS ({scores})
 SELECT source, CASE WHEN any_value(total) >= 20 AND max(n) * 3 >= any_value(total) * 2 AND list_sort(list(n))[-1] <> list_sort(list(n))[-2] THEN arg_max(name, n) END AS convention FROM s GROUP BY source""",
         "ids_unique": "SELECT event_id, CASE WHEN k = 1 THEN event_type ELSE event_type || '-' || k END AS renamed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)",
+        "characters_lost": """SELECT doc_id, CASE WHEN length(whole) > length(cut) THEN length(cut) ELSE -1 END::BIGINT AS lost_at
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS whole, regexp_replace(coalesce(left(text, doc_id % 900), ''), '\\s+', '', 'g') AS cut FROM documents)""",
         "found_by_spelling": f"""SELECT CASE p_partkey % 4 WHEN 0 THEN path WHEN 1 THEN replace(path, ' ', '%20') WHEN 2 THEN lower(path) ELSE path || 'x' END AS path, CASE WHEN p_partkey % 4 < 3 THEN path END AS found,
 CASE p_partkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'decoded' WHEN 2 THEN 'case' END AS how FROM (SELECT p_partkey, {path} AS path FROM part)""",
     }
