@@ -91,6 +91,22 @@ def test_jaccard(make, texts, n, percent):
     assert [(rows[i].n_shingles, rows[i].component_id) for i in range(len(every))] == [(len(s), c) for s, c in zip(sets, want, strict=True)]
 
 
+@pytest.mark.parametrize("rows", [5, 1000])
+def test_jaccard_links(make, monkeypatch, rows):
+    """Every link of a cluster, also between texts that a third one joins already, in one block and in several."""
+    monkeypatch.setattr(jaccard, "LINK_ROWS", rows)
+    texts = [" ".join(f"c{i}{'x' if i < k else ''}" for i in range(90)) for k in range(12)] + [" ".join(f"two{i}{'y' if i < k else ''}" for i in range(90)) for k in range(2)]
+    texts += [texts[0], texts[3], texts[3].upper(), "alone", "alone", "", None]
+    sets = [frozenset(zip(*[(t or "").lower().split()[i:] for i in range(4)], strict=False)) or frozenset((t or "").split()) for t in texts]
+    alike = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b)
+    got = {r.doc_id: r.n_links for r in jaccard.similar_classes(make(texts), 4, 85).collect()}
+    assert got == {i: sum(alike(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    pairs, members = jaccard.similar_pairs(make(texts), 4, 85)
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j) for a, i in first.items() for b, j in first.items() if i < j and alike(a, b))
+    assert dict(map(tuple, members.collect())) == {i: first[s] for i, s in enumerate(sets) if s}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}

@@ -12,11 +12,16 @@ others apart, so a signature of very many sets costs a row a slice. Each set is
 pivot it shares most signatures with, which links nearly all copies. Signatures whose sets then don't fall into one
 component are paired within blocks of at most `BLOCK` sets; parity bitmaps, whose distance never exceeds the sets',
 drop pairs that can't be similar, and the others are compared on whole texts, nearest first, until none is left. So no
-link is lost and copies are not expanded into all their pairs.
+component is lost and copies are not expanded into all their pairs.
+
+Links lie within components, so each pair of sets of a component of three or more is then compared exactly, in blocks of
+bounded rows and elements by products of incidence matrices; a component of two sets is its link. Links between copies
+are counted from the sizes of classes.
 
 Cases: null, empty and blank texts have the empty set and link with nothing; shorter texts than a shingle have one
 element; a null id has the component null, and a set that only
-rows without an id have links with nothing; repeated rows share a class; an empty
+rows without an id have links with nothing (such rows are no one's links, and have null ones); repeated rows share a class
+and count as its copies; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -37,6 +42,8 @@ from vellum.llm.components import connected_components
 SLICE_BYTES = 8 << 20
 #: Cells beyond k; sets that one task pairs of a signature's; pairs of a set with another component in the first round; bits of a bitmap.
 SPARE, BLOCK, NEAREST, BITS = 2, 2000, 4, 512
+#: Sets and elements of a block of a component; columns of an incidence matrix at a time.
+LINK_ROWS, LINK_ELEMENTS, LINK_COLUMNS = 1000, 1 << 20, 4096
 #: Up to so many sets of a signature are paired by column expressions, without a call of Python.
 FEW = 8
 #: Documents picked by id are found by a broadcast of their ids up to this many rows (16 bytes each), else by a shuffled join.
@@ -296,11 +303,152 @@ def _pairs(members: DataFrame, bitmaps: DataFrame, nearest: int, percent: int) -
     return native.union(packed_).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
+def _common(doc: np.ndarray, values: np.ndarray, left: int, n: int) -> np.ndarray:
+    """(left, n - left): elements that each of the first `left` sets shares with each of the others."""
+    out = np.zeros((left, n - left), np.float64)
+    order = np.lexsort((doc, values))
+    doc, values = doc[order], values[order]
+    column = np.cumsum(np.append(True, values[1:] != values[:-1])) - 1 if len(values) else np.empty(0, np.int64)
+    # Only elements on both sides count; those that the same sets have are one column with a weight.
+    sums = [np.bincount(column, weights=w, minlength=column[-1] + 1 if len(column) else 0) for w in (doc < left, doc >= left)]
+    both = (sums[0] > 0) & (sums[1] > 0)
+    on = both[column]
+    doc, column = doc[on], (np.cumsum(both) - 1)[column[on]]
+    if not len(doc):
+        return out
+    edge = np.flatnonzero(np.diff(column, prepend=-1))
+    patterns: dict[bytes, int] = {}
+    chosen, weight = [], []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True):
+        at = patterns.setdefault(doc[a:b].tobytes(), len(chosen))
+        if at == len(chosen):
+            chosen.append((a, b))
+            weight.append(0)
+        weight[at] += 1
+    weight = np.array(weight, np.float64)
+    for start in range(0, len(chosen), LINK_COLUMNS):
+        part = chosen[start : start + LINK_COLUMNS]
+        cells = np.zeros((n, len(part)), np.float32)
+        cells[np.concatenate([doc[a:b] for a, b in part]), np.repeat(np.arange(len(part)), [b - a for a, b in part])] = 1
+        out += (cells[:left] * weight[start : start + len(part)].astype(np.float32)) @ cells[left:].T
+    return out
+
+
+def _similar(sets: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets `left` and `right` (places in `sets`) are similar."""
+    values = [np.frombuffer(sets[i], np.uint64) for i in (*left, *right)]
+    size = np.array([len(v) for v in values])
+    both = _common(np.repeat(np.arange(len(values)), size), np.concatenate(values), len(left), len(values))
+    return 100 * both >= percent * (size[: len(left), None] + size[len(left) :] - both)
+
+
+def _link_blocks(percent: int, pairs: bool):
+    """Links within each run of rows of one (comp, i, j): pairs of keys, or the copies that each key links with."""
+
+    def links(key, copies, block, sets):
+        block = np.array(block)
+        left = np.flatnonzero(block == block.min())
+        right = left if block.min() == block.max() else np.flatnonzero(block == block.max())
+        like = _similar(sets, left, right, percent)
+        if right is left:
+            np.fill_diagonal(like, False)
+        if pairs:
+            x, y = np.nonzero(np.triu(like) if right is left else like)
+            one, two = [key[i] for i in left[x]], [key[i] for i in right[y]]
+            return [min(p) for p in zip(one, two, strict=True)], [max(p) for p in zip(one, two, strict=True)]
+        copies = np.array(copies, np.int64)
+        counts = np.zeros(len(key), np.int64)
+        counts[left] += like @ copies[right]
+        if right is not left:
+            counts[right] += like.T @ copies[left]
+        return key, counts.tolist()
+
+    def run(batches):
+        kinds = (pa.binary(), pa.binary() if pairs else pa.int64())
+        names = ["a", "b"] if pairs else ["key", "n"]
+        last, held = None, ([], [], [], [])
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(links(*held), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            at = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
+            for r, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "block", "set")), strict=True)):
+                if at[r] != last:
+                    if last is not None:
+                        yield made()
+                    last, held = at[r], ([], [], [], [])
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+        if last is not None:
+            yield made()
+
+    return run
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(key, set) of one document of each class in `wanted` (key, smallest): the set's elements, ascending."""
+    ids = wanted.select("key", F.col("smallest").alias("doc_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def own(batches):  # ids may be repeated: only the text that has the set
+        for batch in batches:
+            texts = batch.column("text")
+            lengths = pa.compute.binary_length(texts).to_pylist()
+            for a, b in common.slices(lengths, SLICE_BYTES, 1 << 20):
+                sets = Shingles(texts.slice(a, b - a).to_pylist(), n)
+                keys = batch.column("key").slice(a, b - a).to_pylist()
+                found = [i for i, k in enumerate(keys) if sets.key(i) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in found], pa.binary()), pa.array([sets.set(i).tobytes() for i in found], pa.binary())], names=["key", "set"])
+
+    found = docs.where("text IS NOT NULL").join(ids, "doc_id").select("key", F.col("text").cast("binary").alias("text"))
+    return common.materialise(found.mapInArrow(own, "key binary, set binary").dropDuplicates(["key"]), "sets")
+
+
+def _links(docs: DataFrame, groups: DataFrame, n: int, percent: int, pairs: bool) -> DataFrame:
+    """(a, b) of linked classes, or (key, n): the copies in other classes that a class links with. `groups` has (key, smallest, copies, n_shingles, comp)."""
+    spark = docs.sparkSession
+    sizes = groups.where("smallest IS NOT NULL").groupBy("comp").agg(F.count("*").alias("classes"), F.sum("n_shingles").alias("elements"), F.sum("copies").alias("all"), F.min("key").alias("a"), F.max("key").alias("b"))
+    two = sizes.where("classes = 2")
+    if pairs:
+        simple = two.select("a", "b")
+    else:
+        simple = groups.where("smallest IS NOT NULL").join(two.select("comp", "all"), "comp").select("key", (F.col("all") - F.col("copies")).alias("n"))
+    blocks = F.ceil(F.greatest(F.col("classes") / LINK_ROWS, F.col("elements") / LINK_ELEMENTS)).cast("int")
+    many = sizes.where("classes > 2").select("comp", blocks.alias("blocks"))
+    live = common.materialise(groups.where("smallest IS NOT NULL").join(many, "comp").select("key", "smallest", "copies", "comp", "blocks"), "linked")
+    dealt = live.join(_sets(docs, live, n), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "copies", "block", "set")
+    dealt = dealt.repartition(2 * common.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    found = dealt.mapInArrow(_link_blocks(percent, pairs), "a binary, b binary" if pairs else "key binary, n long")
+    return simple.union(found) if pairs else simple.union(found.groupBy("key").agg(F.sum("n").alias("n")))
+
+
 def similar_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union of their shingle sets."""
+    """(doc_id, n_shingles, component_id, n_links): documents link when 100 * intersection >= percent * union of their shingle sets."""
+    docs, sets, groups, named = _classes(docs, n, percent, id_col, text_col)
+    counts = _links(docs, groups, n, percent, pairs=False).withColumnRenamed("n", "others")
+    joined = sets.join(named.join(counts, "key", "left"), "key", "left")
+    linked = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), linked).alias("n_links"))
+
+
+def similar_pairs(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the smallest ids of different classes of equal sets, a < b; and the classes' members (doc_id, class_id)."""
+    docs, sets, groups, _ = _classes(docs, n, percent, id_col, text_col)
+    name = groups.select("key", "smallest")
+    found = _links(docs, groups, n, percent, pairs=True)
+    found = found.join(name.select(F.col("key").alias("a"), F.col("smallest").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("smallest").alias("y")), "b")
+    members = sets.where("doc_id IS NOT NULL").join(name, "key").select("doc_id", F.col("smallest").alias("class_id"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), members
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """Documents, their sets, the classes of equal sets with their component, and the component's smallest id by class."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = common.materialise(shingle_sets(docs.withColumn("text", F.col("text").cast("binary")), n), "sets")
-    classes = common.materialise(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("smallest"), F.max("bitmap").alias("bitmap")), "classes")
+    classes = common.materialise(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("smallest"), F.count("doc_id").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap")), "classes")
     keyed = classes.withColumn("short", _short(F.col("key")))
     members = common.materialise(memberships(docs, n, percent), "members")
 
@@ -325,11 +473,10 @@ def similar_classes(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id
 
     # Components of short keys become those of ids; sets alike in 64 bits but not in 128 can't link here by mistake: each link was compared by text.
     labels = connected_components(links)
-    groups = keyed.join(labels, keyed["short"] == labels["node"], "left").select("key", "smallest", F.coalesce("component", "short").alias("comp"))
+    groups = keyed.join(labels, keyed["short"] == labels["node"], "left").select("key", "smallest", "copies", "n_shingles", F.coalesce("component", "short").alias("comp"))
+    groups = common.materialise(groups, "groups")
     roots = groups.groupBy("comp").agg(F.min("smallest").alias("component"))
-    named = groups.join(roots, "comp").select("key", "component")
-    joined = sets.join(named, "key", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return docs, sets, groups, groups.join(roots, "comp").select("key", "copies", "component")
 
 
 def _short(key):
