@@ -107,6 +107,31 @@ def test_jaccard_links(make, monkeypatch, rows):
     assert dict(map(tuple, members.collect())) == {i: first[s] for i, s in enumerate(sets) if s}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_are_complete_and_few(percent):
+    """The least similar pairs share a signature; no set, however large and wherever in its band, has many more than cells."""
+    rng = np.random.default_rng(7)
+
+    def signed(sets):
+        values, doc = np.concatenate([np.sort(s) for s in sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sig, owner = jaccard.signatures(values, doc, np.array([len(s) for s in sets]), percent)
+        return [set(sig[owner == i].tolist()) for i in range(len(sets))]
+
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for size in [*range(4, 60), *rng.integers(60, 3000, 60).tolist()]:
+        base = fresh(size)
+        gone = int(rng.integers(0, size))
+        added = 0
+        while gone and 100 * (size - gone) < percent * size:
+            gone -= 1
+        while 100 * (size - gone) >= percent * (size + added + 1):
+            added += 1
+        one, two = signed([base, np.concatenate([base[gone:], fresh(added)])])
+        assert one & two or not gone + added
+    for size in [1000, 1100, 1250, 1400, 1600, 1800, 50_000, 90_000, 100_000, 110_000, 120_000]:
+        assert len(signed([fresh(size)])[0]) < 2 * size
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}

@@ -3,9 +3,11 @@
 Documents are sets of hashed word shingles. Equal sets form a class by digest, so copies cost one row each. Two sets of
 similar size and Jaccard likeness p differ in at most k elements. Sizes are cut into bands; a set joins its own band's
 group and the next one's. Each group parts the shingle domain into k + 3 cells (k + 1 suffice by the pigeonhole
-principle), and every subset of one cell gives a signature: sets that differ in at most k elements agree in at least
-three cells. Cells with no element say little, so they sign only as subsets of three, by sets with at least three such cells;
-any two similar sets still share a signature.
+principle), and some more so that few are empty, and every cell with elements gives a signature: sets that differ in at
+most k elements agree in at least three cells. Where none of these has elements, each of a set's cells with elements
+differs, so there are no more of them than elements in which it can differ from a similar set of the group. Only sets
+with so few cells with elements sign subsets of three empty cells as well. Cells are dealt such that large sets never
+are so, up to rare chance; any two similar sets still share a signature.
 
 Signatures travel packed: a slice of a table sends each distinct signature once with one of its sets, and sends its
 others apart, so a signature of very many sets costs a row a slice. Each set is first compared, on whole texts, with the
@@ -27,8 +29,10 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +104,19 @@ def bands(largest: int, percent: int) -> np.ndarray:
     return np.array([*low, low[-1] * 100 // percent + 1], np.int64)
 
 
+@functools.cache
+def spread(percent: int) -> float:
+    """Cells by element of difference at which a group's largest sets leave few enough cells empty, with 2% to spare."""
+    load, low, high = (100 + percent) / (2 * (100 - percent)), 1.0, 2.0
+    filled = lambda c: c * (1 - math.exp(-load / c))
+    while filled(high) < 1.02 and high < 1 << 10:
+        high *= 2
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (low, mid) if filled(mid) >= 1.02 else (mid, high)
+    return high
+
+
 def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, document) of sets given as elements by document."""
     if not len(values):
@@ -109,8 +126,10 @@ def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: i
     sigs, docs = [], []
     for step in (0, 1):
         group = own + step
-        k = (100 - percent) * 2 * (low[group + 1] - 1) // (100 + percent)
-        cells = np.where((k > 0) & (size > 0), k + 1 + SPARE, 0)
+        largest = low[group + 1] - 1
+        k = (100 - percent) * 2 * largest // (100 + percent)
+        cells = np.where((k > 0) & (size > 0), np.ceil(k * spread(percent)).astype(np.int64) + 1 + SPARE, 0)
+        differ = (100 - percent) * (size + np.minimum(size * 100 // percent, largest)) // (100 + percent)
         start = np.concatenate([[0], np.cumsum(cells)])
         on = cells[doc] > 0
         v, d = values[on], doc[on]
@@ -124,8 +143,8 @@ def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: i
         place = (cell - start[d] + (group[d] << 20)).astype(np.uint64)
         sigs.append(packed.mix(sums ^ packed.mix(place + np.uint64(1))))
         docs.append(d)
-        empty = cells - np.bincount(d, minlength=len(size))
-        for i in np.flatnonzero(empty > SPARE):
+        filled = np.bincount(d, minlength=len(size))
+        for i in np.flatnonzero((cells - filled > SPARE) & (filled <= differ)):
             held = np.zeros(cells[i], bool)
             held[cell[d == i] - start[i]] = True
             none = np.flatnonzero(~held)
