@@ -213,6 +213,19 @@ def test_language(spark, make):
     assert [s.lang for s in rows[4].spans] == ["en", "ru"] and rows[4].spans[1].first == 10
 
 
+def test_language_without_spaces(spark, make):
+    """Long runs are read to their end, and a language or script may change inside a word."""
+    one, two = ("".join(chr(0x4E00 + k + (7 * i) % 50) for i in range(200)) for k in (0, 100))
+    ru = "чтокакэтобылодлянеговсеониивсетолькоещеначалосьзатемснова"
+    fit = [(i, (one, two, ru)[i % 3][i % 20 :], ("aa", "bb", "ru")[i % 3]) for i in range(90)]
+    model = language.fit(spark.createDataFrame(fit, "doc_id long, text string, lang string"))
+    rows = {r.doc_id: r for r in language.identify(make([one[:60] + two, two[:50] + ru, "1 " + one + " " + two[:100]]), model).collect()}
+    assert [rows[i].lang_pred for i in range(3)] == ["bb", "ru", "aa"]
+    assert [[s.lang for s in rows[i].spans] for i in range(3)] == [["aa", "bb"], ["bb", "ru"], ["aa", "bb"]]
+    assert [(s.first, s.last) for i in (0, 2) for s in rows[i].spans] == [(0, 0), (0, 0), (0, 1), (2, 2)]
+    assert [len(x) for x in language.pieces("漢" * 100)] == [33, 33, 34] and language.pieces("abcде中") == ["abc", "де", "中"]
+
+
 def test_viterbi_shortcut_is_exact():
     rng = np.random.default_rng(3)
     labeller = language.Labeller({"langs": ["a", "b", "c"], "grams": {}, "floor": np.zeros(3, np.float32), "scripts": {}})

@@ -1,9 +1,10 @@
 """Language identification of mixed text: script ranges narrow the candidates, a Viterbi pass over words labels spans.
 
-Fitting counts character n-grams (1 to 3 letters, with word edges) of the words of a bounded sample of labelled
+Words are parted where the script changes, and runs of over `PIECE` letters into even pieces, so texts in scripts without
+spaces are read whole. Fitting counts character n-grams (1 to 3 letters, with edges) of the pieces of a bounded sample of labelled
 documents; the counts are summed on the executors and only the most frequent n-grams of each language reach the driver.
-A word's score in a language is its mean log-probability times a weight; scripts in which a language is hardly ever
-written rule it out. The best path through the words pays `SWITCH` for every change of language.
+A piece's score in a language is its mean log-probability times a weight; scripts in which a language is hardly ever
+written rule it out. The best path through the pieces pays `SWITCH` for every change of language.
 
 Cases: a null text or one without letters is `und` with score 0 and no spans; rows are independent, so repeated rows and
 ids, null ids and empty tables need nothing special; without any labelled row all is `und`; carried columns that are
@@ -13,6 +14,7 @@ named like an output give way to it.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections import Counter, defaultdict
 
@@ -27,6 +29,8 @@ from vellum.llm import common
 #: Documents a fit reads at most, and n-grams it keeps for a language.
 FIT_DOCUMENTS, FIT_GRAMS = 2000, 20_000
 SWITCH, CACHE_ENTRIES, SLICE_WORDS = 6.0, 300_000, 250_000
+#: Letters of a piece at most; pieces of a longer run have at least half as many.
+PIECE = 40
 #: Share of a language's training letters that a script must have to admit it.
 SCRIPT_SHARE = 0.005
 
@@ -50,8 +54,21 @@ def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
+def pieces(word: str) -> list[str]:
+    """The word's letters, parted where the script changes and into even pieces of at most `PIECE` letters."""
+    letters = letters_of(word)
+    if letters.isascii() and len(letters) <= PIECE:
+        return [letters] if letters else []
+    out = []
+    for _, run in itertools.groupby(letters, script_of):
+        run = "".join(run)
+        n = -(-len(run) // PIECE)
+        out += [run[len(run) * i // n : len(run) * (i + 1) // n] for i in range(n)]
+    return out
+
+
 def grams(letters: str) -> list[str]:
-    edged = f"\x02{letters[:40]}\x03"
+    edged = f"\x02{letters}\x03"
     return [edged[i : i + n] for n in (1, 2, 3) for i in range(len(edged) - n + 1)]
 
 
@@ -73,10 +90,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
             own: Counter = Counter()
             scripts: Counter = Counter()
             for w, n in counter.items():
-                if letters := letters_of(w):
+                for letters in pieces(w):
                     for g in grams(letters):
                         own[g] += n
-                    scripts[script_of(letters[0])] += n
+                    scripts[script_of(letters[0])] += n * len(letters)
             found.update({(lang, "g", g): n for g, n in own.items()} | {(lang, "s", x): n for x, n in scripts.items()})
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in range(3)] + [pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "item", "n"])
@@ -114,15 +131,19 @@ class Labeller:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a word's pieces in `scores`
         self.scores, self.letters = np.zeros((1024, self.width), np.float32), np.zeros(1024, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        """Scores of words not seen before: mean log-probability times a weight, relative to the best language."""
-        start, get = len(self.index), self.gram.get
-        self.index.update(zip(words, range(start, start + len(words)), strict=True))
-        while len(self.scores) < len(self.index):
+        """Scores of the pieces of words not seen before: mean log-probability times a weight, relative to the best language."""
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        parts = [pieces(w) or [""] for w in words]  # a word without letters is an empty piece
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        start, get = int(self.count.sum()), self.gram.get
+        self.first, self.count = np.concatenate([self.first, start + np.cumsum(counts) - counts]), np.concatenate([self.count, counts])
+        letters = [x for p in parts for x in p]
+        while len(self.scores) < start + len(letters):
             self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-        letters = [letters_of(w) for w in words]
         full = [i for i, x in enumerate(letters) if x]
         for a in range(0, len(full), 20_000):
             part = full[a : a + 20_000]
@@ -143,13 +164,19 @@ class Labeller:
         rows = [i for i, ws in enumerate(words) if ws]
         if not self.width or not rows:
             return out
-        if len(self.index) > CACHE_ENTRIES:
+        if self.count.sum() > CACHE_ENTRIES:
             self.clear()
         self._learn(list(set().union(*words).difference(self.index)))
         index = self.index
-        sizes = np.array([len(words[i]) for i in rows])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.fromiter((index[w] for i in rows for w in words[i]), np.int64, at[-1])
+        n_words = np.array([len(words[i]) for i in rows])
+        starts = np.concatenate([[0], np.cumsum(n_words)])
+        ids = np.fromiter((index[w] for i in rows for w in words[i]), np.int64, starts[-1])
+        counts = self.count[ids]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        place = np.repeat(np.arange(starts[-1]) - np.repeat(starts[:-1], n_words), counts)  # a piece's word within its text
+        ids = np.repeat(self.first[ids] - ends[:-1], counts) + np.arange(ends[-1])
+        at = ends[starts]
+        sizes = np.diff(at)
         scores, letters = self.scores[ids], self.letters[ids]
         whole = np.add.reduceat(scores, at[:-1], axis=0)
         first = whole.argmax(axis=1)
@@ -163,7 +190,7 @@ class Labeller:
             start += len(part)
         for j, i in enumerate(rows):
             a, b = at[j], at[j + 1]
-            out[i] = self._sum_up(paths.get(j), int(first[j]), scores[a:b], letters[a:b], whole[j])
+            out[i] = self._sum_up(paths.get(j), int(first[j]), scores[a:b], letters[a:b], whole[j], place[a:b])
         return out
 
     def _may_switch(self, scores: np.ndarray, at: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -218,17 +245,17 @@ class Labeller:
                 at[:k] = np.where(jump[t, every[:k], at[:k]], best[t, :k], at[:k])
         return [paths[: sizes[i], i] for i in range(n)]
 
-    def _sum_up(self, path: np.ndarray | None, first: int, scores: np.ndarray, letters: np.ndarray, whole: np.ndarray) -> tuple[str, float, list[dict]]:
+    def _sum_up(self, path: np.ndarray | None, first: int, scores: np.ndarray, letters: np.ndarray, whole: np.ndarray, place: np.ndarray) -> tuple[str, float, list[dict]]:
         total = int(letters.sum())
         if not total:
             return "und", 0.0, []
-        langs, share, spans = self.model["langs"], 1.0, [{"first": 0, "last": len(letters) - 1, "lang": self.model["langs"][first]}]
+        langs, share, spans = self.model["langs"], 1.0, [{"first": 0, "last": int(place[-1]), "lang": self.model["langs"][first]}]
         if path is not None:
             shares = np.bincount(path, weights=letters, minlength=self.width) / total
             first = int(shares.argmax())
             share = float(shares[first])
             edge = (np.flatnonzero(np.diff(path)) + 1).tolist()
-            spans = [{"first": a, "last": b - 1, "lang": langs[path[a]]} for a, b in zip([0, *edge], [*edge, len(path)], strict=True)]
+            spans = [{"first": int(place[a]), "last": int(place[b - 1]), "lang": langs[path[a]]} for a, b in zip([0, *edge], [*edge, len(path)], strict=True)]
         rival = max([x for i, x in enumerate(whole.tolist()) if i != first], default=-math.inf)
         sure = 1 / (1 + math.exp(min(50.0, max(-50.0, rival - float(whole[first])))))
         return langs[first], min(1.0, share * sure), spans
@@ -252,7 +279,8 @@ def _labeller(sent) -> Labeller:
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Appends lang_pred, score (0 to 1) and spans (runs of white-space-separated words) to the carried columns (doc_id)."""
+    """Appends lang_pred, score (0 to 1) and spans (runs of white-space-separated words; two that
+    meet inside a word both name it) to the carried columns (doc_id)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_GRAMS a language
 
     def make():
