@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bins of the key histogram that `ordered_blocks` collects; the driver never holds more.
 HISTOGRAM_BINS = 1024
+#: A bin of more than so many times the mean is looked into.
+HEAVY = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +56,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """About how many bytes `df` reads, as the optimiser knows from file sizes; 0 where it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -62,27 +71,45 @@ def _numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def ordered_blocks(df: DataFrame, key: str, n: int, weight: Column | None = None) -> Column:
-    """A block number in 0..n-1 that never falls as `key` rises, with about equal weight a block; null keys get -1.
+def ordered_blocks(df: DataFrame, key: str, n: int, weight: Column | None = None, unit: float | None = None, spread: str | None = None) -> Column:
+    """A block number in 0..n-1 that never falls as `key` rises, with about equal weight a block; `unit` asks for more
+    blocks if they would weigh more than it. Equal keys share a block. Null keys get negative numbers: -1, or by the hash
+    of the column `spread` as many as their weight is due.
 
-    Two narrow scans give the range and a histogram of `HISTOGRAM_BINS` bins; within a bin keys are
-    spread evenly. Equal keys always share a block.
+    Narrow scans give the range and a histogram of `HISTOGRAM_BINS` bins; keys are spread evenly within a bin. A bin that
+    holds far more than its share, as when a few keys lie far from all others, is parted by a histogram of its own.
     """
-    n = max(1, n)
-    x = F.col(key).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).first()
+    x, w = F.col(key).cast("double"), (F.lit(1) if weight is None else weight).cast("double")
+    low, high, total, free = df.agg(F.min(x), F.max(x), F.sum(F.when(x.isNotNull(), w)), F.sum(F.when(x.isNull(), w))).first()
+    total, free = total or 0.0, free or 0.0
+    n = max(1, n, math.ceil((total + free) / unit) if unit else 1)
+    null = F.lit(-1)
+    if spread and free:
+        null = -1 - F.pmod(F.xxhash64(spread), F.lit(max(1, math.ceil(n * free / (total + free)))))
     if low is None or high <= low:
-        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("int")
-    at = (x - F.lit(low)) / F.lit(high - low) * HISTOGRAM_BINS
-    bin_ = F.least(F.floor(at), F.lit(HISTOGRAM_BINS - 1)).cast("int")
-    mass = dict(df.where(F.col(key).isNotNull()).groupBy(bin_.alias("b")).agg(F.sum(F.lit(1) if weight is None else weight).cast("double").alias("w")).collect())
-    total = sum(w or 0 for w in mass.values()) or 1.0
-    edges = [0.0]
-    for b in range(HISTOGRAM_BINS):
-        edges.append(edges[-1] + (mass.get(b) or 0.0) / total * n)
-    lo, hi = F.element_at(_numbers(edges[:-1]), bin_ + 1), F.element_at(_numbers(edges[1:]), bin_ + 1)
-    block = F.floor(lo + (hi - lo) * F.least(at - bin_, F.lit(1.0)))
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.least(block, F.lit(n - 1))).cast("int")
+        return F.when(F.col(key).isNull(), null).otherwise(0).cast("int")
+
+    def place(rows: DataFrame, low: float, high: float, first: float, share: float) -> Column:
+        """Where in first..first+share (blocks) the keys of low..high lie."""
+        at = (x - F.lit(low)) / F.lit(high - low) * HISTOGRAM_BINS
+        bin_ = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(HISTOGRAM_BINS - 1))).cast("int")
+        mass = {b: m or 0.0 for b, m in rows.groupBy(bin_.alias("b")).agg(F.sum(w)).collect()}
+        all_ = sum(mass.values()) or 1.0
+        edges = [first]
+        for b in range(HISTOGRAM_BINS):
+            edges.append(edges[-1] + mass.get(b, 0.0) / all_ * share)
+        lo, hi = F.element_at(_numbers(edges[:-1]), bin_ + 1), F.element_at(_numbers(edges[1:]), bin_ + 1)
+        out = lo + (hi - lo) * F.least(at - bin_, F.lit(1.0))
+        width = (high - low) / HISTOGRAM_BINS
+        for b in (b for b, m in mass.items() if m > HEAVY * all_ / HISTOGRAM_BINS and edges[b + 1] - edges[b] > 1 and width > 1):
+            inner = rows.where(bin_ == b)
+            a, z = inner.agg(F.min(x), F.max(x)).first()
+            if z > a:
+                out = F.when(bin_ == b, place(inner, a, z, edges[b], edges[b + 1] - edges[b])).otherwise(out)
+        return out
+
+    block = F.floor(place(df.where(x.isNotNull()), low, high, 0.0, float(n)))
+    return F.when(F.col(key).isNull(), null).otherwise(F.least(block, F.lit(n - 1))).cast("int")
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -1,4 +1,4 @@
-"""Sorted 64-bit hashes as compact binary columns, so that a shuffle moves blocks of them instead of rows."""
+"""Words of texts as hashes, and sorted 64-bit hashes as compact binary columns: a shuffle moves blocks of them, not rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,12 @@ import numpy as np
 import xxhash
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: The six bytes that part words.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -39,26 +45,53 @@ def part_of(x: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts as numbers: `ids` of all words in order, `at` where each text begins, `hashes` by id."""
+    """The words of some texts in order: `first` and `last` byte in `raw`, `hashes`, the text `doc` of each; `at` where each text begins."""
 
     def __init__(self, texts: list[bytes | None]):
-        # Without an argument, bytes.split() parts at exactly the bytes 0x20 and 0x09 to 0x0D.
-        self.lists = [t.split() if t else [] for t in texts]
-        self.sizes = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
-        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
-        flat = [w for ws in self.lists for w in ws]
-        index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        self.ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-        self.doc = np.repeat(np.arange(len(self.lists)), self.sizes)
+        texts = [t or b"" for t in texts]
+        joined = b" ".join(texts)
+        # Blanks around the whole: each word has an edge on both sides, and 8 bytes can be read from anywhere in it.
+        self.raw = np.frombuffer(b" " + joined + b" " * 9, np.uint8)
+        edge = np.flatnonzero(np.diff(BLANK[self.raw].view(np.int8)))
+        self.first, self.last = edge[::2] + 1, edge[1::2]
+        ends = 1 + np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.empty(0, np.int64)
+        self.at = np.concatenate([[0], np.searchsorted(self.first, ends)]).astype(np.int64)
+        self.sizes = np.diff(self.at)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.hashes = self._hash()
+        self._plain: tuple[bytes, np.ndarray] | None = None
+
+    def _hash(self) -> np.ndarray:
+        length = self.last - self.first + 1
+        eights = np.ndarray(max(0, len(self.raw) - 7), "<u8", self.raw, strides=(1,))
+        out = mix(length.astype(np.uint64) * GOLDEN + (eights[self.first] & MASKS[np.minimum(length, 8)]))
+        on = np.flatnonzero(length > 8)
+        for k in range(8, LONG, 8):
+            if not len(on):
+                return out
+            out[on] = mix(out[on] * GOLDEN + (eights[self.first[on] + k] & MASKS[np.minimum(length[on] - k, 8)]))
+            on = on[length[on] > k + 8]
+        for i in on.tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.raw[self.first[i] : self.last[i] + 1])
+        return out
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """A hash for each place where `size` words of one text follow each other, and the places."""
-        n = len(self.ids) - size + 1
+        n = len(self.hashes) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h, total = self.hashes[self.ids], np.zeros(n, np.uint64)
+        total = np.zeros(n, np.uint64)
         for j in range(size):
-            total = total * GOLDEN + h[j : j + n]
+            total = total * GOLDEN + self.hashes[j : j + n]
         places = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
         return mix(total[places] + np.uint64(size)), places
+
+    def plain(self) -> tuple[bytes, np.ndarray]:
+        """The words of all texts, each with a space after it, and where each begins (with the end of the last)."""
+        if self._plain is None:
+            keep = ~BLANK[self.raw]
+            keep[self.last + 1] = True
+            out = self.raw[keep]
+            out[BLANK[out]] = 0x20
+            self._plain = out.tobytes(), np.append(np.cumsum(keep)[self.first] - 1, len(out))
+        return self._plain

@@ -1,15 +1,20 @@
 """Substring deduplication: removal of passages that an earlier document already holds, by repeated-phrase automata.
 
 1. Documents are dealt by ascending id into blocks of a few MB, so that a smaller block has only smaller ids.
-2. Every block sends the hashes of its distinct windows (13 words), packed and dealt by hash range; an answer of one bit
-   a window says whether an earlier block has it. That confirms which passages recur, in one shuffle of under 8 bytes a
-   distinct window whatever the skew: a window counts once a block however often it occurs.
-3. In each block the recurring passages, cut into windows that cover them, are compiled into one Aho-Corasick automaton
-   over the block's word numbers (a shard), and all its documents that hold any are streamed through it to locate every occurrence.
+2. Every block sends the hashes of its distinct windows (13 words), packed and dealt by hash range: a window counts once a
+   block however often it occurs. Each range names, for a window that several blocks have, to each the one before it.
+3. These earlier blocks send the recurring passages in words, each maximal run of windows once. A passage goes from block
+   to block, so none sends it to many.
+4. A later block confirms, word by word, which of its own passages were sent or occur earlier in itself, compiles them (in
+   windows that cover them) into an Aho-Corasick automaton over word numbers: a shard. All its documents are streamed
+   through it to locate every occurrence.
+
+Hashes only propose: nothing is removed whose words are not equal to an earlier document's.
 
 Cases: null, empty and blank texts have no words and lose none; texts of fewer words than a window lose none; of
-repeated rows with one id none is earlier than another; null ids count as smaller than all others; an empty table gives
-an empty result; carried columns that are named like an output give way to it.
+repeated rows with one id none is earlier than another; rows with a null id are neither earlier nor later than others:
+they lose nothing and cost others nothing; an empty table gives an empty result; carried columns that are named like an
+output give way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 
 from vellum.llm import common, packed
 
-WINDOW, BLOCK_BYTES = 13, 4 << 20
+WINDOW, BLOCK_BYTES, PART_BYTES = 13, 4 << 20, 16 << 20
 OUTPUT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
     T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
@@ -36,101 +41,166 @@ def _ask(window: int, parts: int):
     """A block's distinct windows, one row for each range of hashes."""
 
     def ask(table: pa.Table) -> pa.Table:
-        hashes = np.unique(packed.Words(table.column("__text").to_pylist()).windows(window)[0])
+        block = table.column("__block")[0].as_py()
+        hashes = np.unique(packed.Words(table.column("__text").to_pylist()).windows(window)[0]) if block >= 0 else np.empty(0, np.uint64)
         edges = np.searchsorted(packed.part_of(hashes, parts), np.arange(parts + 1))
         full = np.flatnonzero(np.diff(edges))
-        block = table.column("__block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(full), pa.int32()), "part": pa.array(full, pa.int32()), "hashes": pa.array([packed.pack(hashes[edges[p] : edges[p + 1]]) for p in full], pa.binary())})
 
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each block's windows of one range: a bit that says whether a smaller block has it."""
+def _recurring(table: pa.Table) -> pa.Table:
+    """Of one range of hashes: the windows of each block that an earlier block has too, by the nearest such holder."""
     table = table.sort_by("block")
     lists = [packed.unpack(x) for x in table.column("hashes").to_pylist()]
-    flat = np.concatenate(lists)
+    flat, block = np.concatenate(lists), np.repeat(table.column("block").to_numpy(), [len(x) for x in lists])
     order = np.argsort(flat, kind="stable")
-    later = np.zeros(len(flat), bool)
-    later[order[1:]] = flat[order[1:]] == flat[order[:-1]]
-    bits = [np.packbits(x) for x in np.split(later, np.cumsum([len(x) for x in lists])[:-1])]
-    keep = [i for i, x in enumerate(bits) if x.any()]
-    return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())), "part": table.column("part").take(pa.array(keep, pa.int64())), "bits": pa.array([bits[i].tobytes() for i in keep], pa.binary())})
+    flat, block = flat[order], block[order]
+    first = np.append(True, flat[1:] != flat[:-1])
+    holder = np.roll(block, 1)[~first]
+    flat, block = flat[~first], block[~first]
+    order = np.lexsort((flat, block, holder))
+    flat, block, holder = flat[order], block[order], holder[order]
+    edge = np.flatnonzero(np.diff(holder, prepend=-2) | np.diff(block, prepend=-2)) if len(flat) else np.empty(0, np.int64)
+    return pa.table({"holder": pa.array(holder[edge], pa.int32()), "block": pa.array(block[edge], pa.int32()), "hashes": pa.array([packed.pack(flat[a:b]) for a, b in zip(edge, [*edge[1:], len(flat)], strict=True)] if len(edge) else [], pa.binary())})
+
+
+def _runs(places: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Ascending places of windows, cut wherever the next window of the same text is missing."""
+    return np.split(places, np.flatnonzero((np.diff(places) != 1) | (doc[places[1:]] != doc[places[:-1]])) + 1)
+
+
+def _hold(window: int):
+    """The passages that later blocks have asked a block for: words parted by spaces, passages by line ends."""
+
+    def hold(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted: dict[int, list[np.ndarray]] = {}
+        for block, hashes in zip(asked.column("block").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+            wanted.setdefault(block, []).append(packed.unpack(hashes))
+        passages = []
+        if wanted:
+            words = packed.Words(docs.column("__text").to_pylist())
+            hashes, places = words.windows(window)
+            distinct, first = np.unique(hashes, return_index=True)
+            plain, start = words.plain()
+            for hashes in wanted.values():
+                at = np.sort(places[first[np.searchsorted(distinct, np.concatenate(hashes))]])
+                passages.append(b"\n".join(plain[start[run[0]] : start[run[-1] + window] - 1] for run in _runs(at, words.doc)))
+        return pa.table({"block": pa.array(list(wanted), pa.int32()), "passages": pa.array(passages, pa.binary())})
+
+    return hold
+
+
+def _same(p: np.ndarray, words: packed.Words, q: np.ndarray, others: packed.Words, window: int) -> np.ndarray:
+    """Whether the windows at p and at q have equal words. Neighbouring windows are compared as one passage."""
+    (x, x_at), (y, y_at) = words.plain(), others.plain()
+    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
+    out = np.zeros(len(p), bool)
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(p)], strict=True):
+        if b > a:
+            out[a:b] = x[x_at[p[a]] : x_at[p[b - 1] + window]] == y[y_at[q[a]] : y_at[q[b - 1] + window]]
+            if not out[a]:
+                out[a:b] = [x[x_at[i] : x_at[i + window]] == y[y_at[j] : y_at[j + window]] for i, j in zip(p[a:b], q[a:b], strict=True)]
+    return out
+
+
+def _again(words: packed.Words, ranks: np.ndarray, given: packed.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows that an earlier text has, and the rank of the earliest one (-1: in an earlier block)."""
+    hashes, places = words.windows(window)
+    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    seen, sent = ranks[words.doc[places[first]]], np.full(len(distinct), -1)
+    others, others_at = given.windows(window)
+    if len(others) and len(distinct):
+        at = np.minimum(np.searchsorted(distinct, others), len(distinct) - 1)
+        hit = distinct[at] == others
+        seen[at[hit]], sent[at[hit]] = -1, others_at[hit]
+    on = np.flatnonzero(seen[inverse] < ranks[words.doc[places]])
+    again, which = places[on], inverse[on]
+    near = sent[which] < 0
+    equal = np.empty(len(on), bool)
+    equal[near] = _same(again[near], words, places[first[which[near]]], words, window)
+    equal[~near] = _same(again[~near], words, sent[which[~near]], given, window)
+    return again[equal], seen[which[equal]]
+
+
+def _compile(again: np.ndarray, earliest: np.ndarray, words: packed.Words, window: int) -> tuple[ahocorasick.Automaton | None, np.ndarray]:
+    """An automaton of windows that cover all recurring passages (every `window`-th of a run, and its last), and word numbers: 0 is no word of it."""
+    if not len(again):
+        return None, np.empty(0, np.int64)
+    runs = _runs(again, words.doc)
+    used = np.zeros(len(words.hashes) + 1, np.int64)
+    for run in runs:
+        used[run[0]] += 1
+        used[run[-1] + window] -= 1
+    known = np.unique(words.hashes[np.cumsum(used[:-1]) > 0])
+    at = np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)
+    numbers = np.where(known[at] == words.hashes, at + 1, 0)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    begin = 0
+    for run in runs:
+        for k in {*range(0, len(run), window), len(run) - 1}:
+            automaton.add_word(tuple(numbers[run[k] : run[k] + window].tolist()), int(earliest[begin + k]))
+        begin += len(run)
+    automaton.make_automaton()
+    return automaton, numbers
 
 
-def _locate(window: int, parts: int, carry: list[str], text: bool):
-    def locate(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _locate(window: int, carry: list[str], text: bool):
+    """Streams a block's documents through its automaton; rows of the carried columns and `OUTPUT`."""
+
+    def locate(docs: pa.Table, sent: pa.Table) -> pa.Table:
         docs = docs.sort_by("__id")
-        ids = docs.column("__id").to_pylist()
+        ids, n = docs.column("__id").to_pylist(), len(docs)
         words = packed.Words(docs.column("__text").to_pylist())
-        ranks = np.concatenate([[0], np.cumsum([a != b for a, b in zip(ids, ids[1:])])]).astype(np.int64) if ids else np.empty(0, np.int64)
-        # Nulls sort last here but count as smallest; they have a block to themselves.
-        hashes, places = words.windows(window)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        seen = ranks[words.doc[places[first]]] if len(distinct) else np.empty(0, np.int64)
-        edges = np.searchsorted(packed.part_of(distinct, parts), np.arange(parts + 1))
-        for part, bits in zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            a, b = edges[part], edges[part + 1]
-            seen[a:b][np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)] = -1
-        again = places[seen[inverse] < ranks[words.doc[places]]] if len(places) else places
-        automaton = _compile(again, words, window, dict(zip(places.tolist(), seen[inverse].tolist(), strict=True)) if len(again) else {})
-        out = {f.name: [] for f in OUTPUT.fields}
-        has = np.bincount(words.doc[again], minlength=len(words.lists)) > 0
-        for i, ws in enumerate(words.lists):
-            own = words.ids[words.at[i] : words.at[i + 1]]
-            gone = np.zeros(len(own) + 1, np.int64)
-            if automaton is not None and has[i]:  # a document without a recurring window can't match
-                rank = ranks[i]
-                for end, earliest in automaton.iter(tuple(own.tolist())):
+        ranks = np.concatenate([[0], np.cumsum([a != b for a, b in zip(ids, ids[1:])])])[:n].astype(np.int64)
+        given = packed.Words([p for x in sent.column("passages").to_pylist() for p in x.split(b"\n")])
+        automaton, numbers = _compile(*_again(words, ranks, given, window), words, window) if n and ids[0] is not None else (None, None)
+        plain, start = words.plain()
+        removed, sums, kept, spans, count = np.zeros(n, np.int64), [], [], [], np.zeros(n, np.int32)
+        for i, (a, b) in enumerate(zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True)):
+            edge = []
+            if automaton is not None:
+                gone, rank = np.zeros(b - a + 1, np.int64), ranks[i]
+                for end, earliest in automaton.iter(tuple(numbers[a:b].tolist())):
                     if earliest < rank:
                         gone[end - window + 1] += 1
                         gone[end + 1] -= 1
-            dead = np.cumsum(gone[:-1]) > 0
-            edge = np.flatnonzero(np.diff(dead, prepend=False, append=False))
-            kept = [ws[j] for j in np.flatnonzero(~dead)] if len(edge) else ws
-            whole = b" ".join(kept)
-            out["n_words"].append(len(ws))
-            out["n_removed"].append(len(ws) - len(kept))
-            out["kept_sha256"].append(hashlib.sha256(whole).hexdigest())
-            out["kept_text"].append((whole.decode("utf-8", "replace") if len(edge) else None) if text else None)
-            out["removed"].append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-        schema = common.arrow_schema(OUTPUT)
-        return pa.table({**{c: docs.column(c) for c in carry}, **{f.name: pa.array(out[f.name], f.type) for f in schema}})
+                dead = np.cumsum(gone[:-1]) > 0
+                edge = np.flatnonzero(np.diff(dead, prepend=False, append=False)).tolist()
+                removed[i] = dead.sum()
+            stay = zip([0, *edge[1::2]], [*edge[::2], b - a], strict=True)  # runs of words that stay
+            whole = b" ".join([plain[start[a + x] : start[a + y] - 1] for x, y in stay if y > x])
+            sums.append(hashlib.sha256(whole).hexdigest())
+            kept.append(whole.decode("utf-8", "replace") if text and edge else None)
+            spans += edge
+            count[i] = len(edge) // 2
+        spans = np.array(spans, np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(spans[::2]), pa.array(spans[1::2] - 1)], ["first", "last"])
+        runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pairs)
+        made = dict(zip([f.name for f in OUTPUT.fields], [pa.array(words.sizes), pa.array(removed), pa.array(sums, pa.string()), pa.array(kept, pa.string()), runs], strict=True))
+        return pa.table({**{c: docs.column(c) for c in carry}, **{f.name: pa.chunked_array([made[f.name].cast(f.type)]) for f in common.arrow_schema(OUTPUT)}})
 
     return locate
 
 
-def _compile(again: np.ndarray, words: packed.Words, window: int, earliest: dict[int, int]) -> ahocorasick.Automaton | None:
-    """An automaton of windows that cover all recurring passages: every `window`-th of a run of windows, and its last."""
-    if not len(again):
-        return None
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    runs = np.split(again, np.flatnonzero((np.diff(again) != 1) | (words.doc[again[1:]] != words.doc[again[:-1]])) + 1)
-    for run in runs:
-        for place in {*range(run[0], run[-1] + 1, window), int(run[-1])}:
-            automaton.add_word(tuple(words.ids[place : place + window].tolist()), earliest[int(place)])
-    automaton.make_automaton()
-    return automaton
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """Appends n_words, n_removed, kept_sha256, kept_text (null where nothing goes, or unless asked for) and removed
     (runs of word positions) to the carried columns (the id): every word goes that a window covers which also starts in a
     document with a smaller id."""
-    spark = docs.sparkSession
     taken = {f.name.lower() for f in OUTPUT.fields}
     carry = [c for c in ([id_col] if carry is None else carry) if c.lower() not in taken]
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0))
-    rows = docs.select(*carry, F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    parts = common.partitions(spark)
-    blocks = max(2 * parts, int(total // block_bytes))
-    dealt = rows.withColumn("__block", common.ordered_blocks(docs.select(F.col(id_col).cast("long").alias("__id"), text_col), "__id", blocks, size))
-    # Both uses group the same rows by block, so Spark shuffles the texts once and reads that exchange twice.
-    asked = dealt.groupBy("__block").applyInArrow(_ask(window, 2 * parts), "block int, part int, hashes binary")
-    answered = asked.groupBy("part").applyInArrow(_answer, "block int, part int, bits binary")
-    schema = T.StructType([*docs.select(*carry).schema.fields, *OUTPUT.fields])
-    return dealt.groupBy("__block").cogroup(answered.groupBy("block")).applyInArrow(_locate(window, 2 * parts, carry, keep_text), schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
+    size = F.coalesce(F.octet_length("__text"), F.lit(0))
+    least = common.partitions(docs.sparkSession)
+    parts = max(2 * least, common.input_bytes(docs) // PART_BYTES)
+    dealt = rows.withColumn("__block", common.ordered_blocks(rows, "__id", 2 * least, size, block_bytes, spread="__text"))
+    # All three uses group the same rows by block, so Spark shuffles the texts once and reads that exchange again.
+    asked = dealt.groupBy("__block").applyInArrow(_ask(window, parts), "block int, part int, hashes binary")
+    recurring = asked.groupBy("part").applyInArrow(_recurring, "holder int, block int, hashes binary")
+    sent = dealt.groupBy("__block").cogroup(recurring.groupBy("holder")).applyInArrow(_hold(window), "block int, passages binary")
+    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields, *OUTPUT.fields])
+    return dealt.groupBy("__block").cogroup(sent.groupBy("block")).applyInArrow(_locate(window, carry, keep_text), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
