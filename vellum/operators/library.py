@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -36,13 +36,24 @@ def families(rows: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
 def coverage(members: DataFrame, quotas: DataFrame) -> DataFrame:
     """(family, want, have, short) of every quota, those without members too."""
     have = members.groupBy("family").agg(F.count("*").alias("have"))
-    return quotas.join(F.broadcast(have), "family", "left").select("family", "want", F.coalesce("have", F.lit(0)).alias("have"), F.greatest(F.lit(0), F.col("want") - F.coalesce("have", F.lit(0))).alias("short"))
+    return quotas.join(have, "family", "left").select("family", "want", F.coalesce("have", F.lit(0)).alias("have"), F.greatest(F.lit(0), F.col("want") - F.coalesce("have", F.lit(0))).alias("short"))
 
 
-def ranked(findings: DataFrame, top: int | None = None) -> DataFrame:
-    """Findings (book, stage, level, rule) by how many books have them, then how often: with up to three examples."""
-    out = findings.groupBy("stage", "level", "rule").agg(F.countDistinct("book").alias("books"), F.count("*").alias("occurrences"), F.min("book").alias("example"))
-    return out if top is None else out.orderBy(F.desc("books"), F.desc("occurrences"), "stage", "rule").limit(top)
+def ranked(findings: DataFrame, top: int | None = None, levels: list[str] | None = None) -> DataFrame:
+    """Findings (book, stage, level, rule) by how many books have them, then how often, with up to three of these books.
+
+    Each kind has a `place`; with `top` only the first places stay, and with `levels` only those of them (the cut comes
+    first). Books are counted from their distinct pairs with a kind and the three smallest are ranked within each task
+    before the shuffle, so no kind's books meet in one task. The kinds themselves are as few as the rules.
+    """
+    kind = ["stage", "level", "rule"]
+    by_book = findings.groupBy(*kind, "book").agg(F.count("*").alias("n"))
+    smallest = by_book.withColumn("k", F.row_number().over(Window.partitionBy(*kind).orderBy("book"))).where("k <= 3")
+    examples = smallest.groupBy(*kind).agg(F.array_join(F.array_sort(F.collect_list("book")), ",").alias("examples"))
+    counts = by_book.groupBy(*kind).agg(F.count("*").alias("books"), F.sum("n").alias("occurrences"))
+    out = counts.join(examples, kind).withColumn("place", F.row_number().over(Window.orderBy(F.desc("books"), F.desc("occurrences"), *kind)))
+    out = out if top is None else out.where(F.col("place") <= top)
+    return out if levels is None else out.where(F.col("level").isin(levels))
 
 
 def noisy_or(evidence: DataFrame, keys: list[str], floor: float = 0.5, cap: float = 0.999) -> DataFrame:
@@ -66,8 +77,9 @@ def words(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source, word, n) of the wanted (source, word) only: the semi-join prunes before the count's shuffle."""
-    return words(docs, "source").join(wanted, ["source", "word"], "left_semi").groupBy("source", "word").agg(F.count("*").alias("n"))
+    """(source, word, n) of the wanted (source, word) only: words are counted within tasks and by their shuffle before the
+    semi-join, which needs no other one, since both sides are dealt by the same key."""
+    return words(docs, "source").groupBy("source", "word").agg(F.count("*").alias("n")).join(wanted, ["source", "word"], "left_semi")
 
 
 def hyphen_candidates(docs: DataFrame) -> DataFrame:
@@ -92,7 +104,5 @@ def hyphen_candidates(docs: DataFrame) -> DataFrame:
 
 def level_jumps(rows: DataFrame, key: str, order: str, level: str) -> DataFrame:
     """(key, jumps): how often a level is more than one deeper than the one before it."""
-    from pyspark.sql import Window
-
     before = F.lag(level).over(Window.partitionBy(key).orderBy(order))
     return rows.select(key, (F.col(level) > before + 1).alias("jump")).groupBy(key).agg(F.count_if("jump").alias("jumps"))

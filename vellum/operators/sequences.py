@@ -21,8 +21,9 @@ def pair_by_place(left: DataFrame, right: DataFrame, key: str, order: str) -> Da
 
 def next_held(rows: DataFrame, key: str, order: str, held: str) -> DataFrame:
     """(key, order, before): for each row that `held` is false of, the next one by order that it is true of; null at the end."""
-    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    found = rows.withColumn("before", F.first(F.when(F.expr(held), F.col(order)), ignorenulls=True).over(ahead))
+    # Backwards, so that the frame only grows: Spark computes a frame that shrinks anew for every row.
+    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("before", F.last(F.when(F.expr(held), F.col(order)), ignorenulls=True).over(ahead))
     return found.where(~F.expr(held)).select(key, order, "before")
 
 

@@ -19,6 +19,10 @@ SELECTORS = "CASE doc_id % 4 WHEN 0 THEN 'body > p.' || source WHEN 1 THEN '#d'
 QUOTED = "CASE length(source) % 3 WHEN 0 THEN '„' || text || '”' WHEN 1 THEN '«' || text || '»' ELSE CASE doc_id % 2 WHEN 0 THEN '“' || text || '”' ELSE '„' || text || '“' END END"
 
 
+#: Texts that lost something by a rule: their ends, or a letter wherever it stands; others gained something, or changed in nothing.
+CUT = "CASE doc_id % 4 WHEN 0 THEN substr(text, 1, CAST(doc_id % 900 AS INT)) WHEN 1 THEN replace(text, 'z', '') WHEN 2 THEN '# ' || text || ' #' ELSE text END"
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -56,7 +60,7 @@ def _cascade(spark, sf):
     elements = _t(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("tag"), F.array(F.concat(F.lit("n"), "c_nationkey"), F.lit("all")).alias("classes"), F.concat(F.lit("i"), F.col("c_custkey") % 50).alias("element_id"))
     none, text = F.lit(None).cast("string"), F.array().cast("array<string>")
     n = _t(spark, sf, "nation")
-    rules = n.select(F.col("n_nationkey").alias("ord"), none.alias("tag"), F.array(F.concat(F.lit("n"), "n_nationkey")).alias("classes"), none.alias("element_id"), F.lit(True).alias("targeted"), F.lit("margin").alias("prop"), F.col("n_name").alias("value")).where("ord % 3 = 0")
+    rules = n.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("ord"), none.alias("tag"), F.array(F.concat(F.lit("n"), "n_nationkey")).alias("classes"), none.alias("element_id"), F.lit(True).alias("targeted"), F.lit("margin").alias("prop"), F.col("n_name").alias("value"))
     rules = rules.union(n.where("n_nationkey = 7").select(F.lit(90), F.lit("BUILDING"), text, none, F.lit(False), F.lit("margin"), F.lit("tagged")))
     rules = rules.union(n.where("n_nationkey = 7").select(F.lit(80), none, F.array(F.lit("all")), F.lit("i7"), F.lit(True), F.lit("margin"), F.lit("named")))
     rules = rules.union(n.where("n_nationkey = 7").select(F.lit(1), F.lit("*"), text, none, F.lit(False), F.lit("color"), F.lit("black")))
@@ -132,8 +136,8 @@ def queries() -> dict:
         "css_specificity": _specificity,
         "css_duplicate_props": lambda s, d: styles.losing_declarations(_declarations(s, d)).select("block", "prop", "ord"),
         "css_winning_props": lambda s, d: styles.winning_declarations(_declarations(s, d)),
-        "css_equal_classes": lambda s, d: styles.equal_classes(_t(s, d, "events").select(F.col("user_id").alias("name"), F.col("event_type").alias("prop"), F.lit("x").alias("value"))).select(F.col("names")[0].alias("first"), "n"),
-        "css_dead_classes": lambda s, d: styles.usage(_t(s, d, "part").select(F.col("p_partkey").alias("name")), _t(s, d, "lineitem").where("l_quantity < 3").select((F.col("l_partkey") * 2).alias("name"))),
+        "css_equal_classes": lambda s, d: styles.equal_classes(_t(s, d, "events").select(F.col("user_id").alias("name"), F.col("event_type").alias("prop"), F.lit("x").alias("value"))),
+        "css_dead_classes": lambda s, d: styles.usage(_t(s, d, "part").select(F.col("p_partkey").alias("name")), _t(s, d, "lineitem").select((F.col("l_partkey") * 2).alias("name"))),
         "css_out_of_order": _out_of_order,
         "css_cascade": _cascade,
         "css_inherited": _inherited,
@@ -149,7 +153,7 @@ def queries() -> dict:
         "quote_convention": lambda s, d: sequences.quote_convention(_t(s, d, "documents").where("source IS NOT NULL").withColumn("text", F.expr(QUOTED)), "source"),
         "ids_unique": _ids,
         "found_by_spelling": _spelling,
-        "characters_lost": lambda s, d: encodings.losses(_t(s, d, "documents").select("doc_id", "text", F.expr("left(text, CAST(doc_id % 900 AS INT))").alias("cut")), ["doc_id"], "text", "cut"),
+        "characters_lost": lambda s, d: encodings.losses(_t(s, d, "documents").select("doc_id", "text", F.expr(CUT).alias("cut")), ["doc_id"], "text", "cut"),
     }
 
 
@@ -171,12 +175,12 @@ strftime(coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y-%m-%dT%H:
         "css_specificity": f"SELECT doc_id, ids, classes, types, key FROM ({spec})",
         "css_duplicate_props": "SELECT user_id AS block, event_type AS prop, event_id AS ord FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 90) DESC, event_id DESC) > 1",
         "css_winning_props": "SELECT user_id AS block, event_type AS prop, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 90) DESC, event_id DESC) = 1",
-        "css_equal_classes": "WITH c AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS s FROM events GROUP BY 1) SELECT min(user_id) AS first, count(*) AS n FROM c GROUP BY s HAVING count(*) > 1",
-        "css_dead_classes": "WITH u AS (SELECT DISTINCT l_partkey * 2 AS name FROM lineitem WHERE l_quantity < 3) SELECT p_partkey AS name, 'dead' AS state FROM part WHERE p_partkey NOT IN (SELECT name FROM u) UNION ALL SELECT name, 'bare' FROM u WHERE name NOT IN (SELECT p_partkey FROM part)",
+        "css_equal_classes": "WITH c AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS s FROM events GROUP BY 1) SELECT user_id AS name, min(user_id) OVER w AS first, count(*) OVER w AS n FROM c QUALIFY n > 1 WINDOW w AS (PARTITION BY s)",
+        "css_dead_classes": "WITH u AS (SELECT DISTINCT l_partkey * 2 AS name FROM lineitem) SELECT p_partkey AS name, 'dead' AS state FROM part WHERE p_partkey NOT IN (SELECT name FROM u) UNION ALL SELECT name, 'bare' FROM u WHERE name NOT IN (SELECT p_partkey FROM part)",
         "css_out_of_order": f"WITH r AS ({spec}) SELECT lang AS sheet, doc_id AS ord, s AS selector FROM r WHERE EXISTS (SELECT 1 FROM r b WHERE b.lang IS NOT DISTINCT FROM r.lang AND b.key = r.key AND b.doc_id < r.doc_id AND (b.ids, b.classes, b.types) > (r.ids, r.classes, r.types))",
         "css_cascade": """SELECT c_custkey AS node, 'color' AS prop, 'black' AS value, false AS targeted FROM customer UNION ALL
-SELECT c_custkey, 'margin', CASE WHEN c_custkey % 50 = 7 THEN 'named' WHEN c_nationkey % 3 = 0 THEN n_name ELSE 'tagged' END, c_custkey % 50 = 7 OR c_nationkey % 3 = 0
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 7 OR c_nationkey % 3 = 0 OR c_mktsegment = 'BUILDING'""",
+SELECT c_custkey, 'margin', CASE WHEN c_custkey % 50 = 7 THEN 'named' WHEN n_name IS NOT NULL THEN n_name ELSE 'tagged' END, c_custkey % 50 = 7 OR n_name IS NOT NULL
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 7 OR n_name IS NOT NULL OR c_mktsegment = 'BUILDING'""",
         "css_inherited": f"""WITH t AS ({turns}), h AS (SELECT conv_id, turn, max(CASE WHEN turn % 3 = 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS at FROM t)
 SELECT h.conv_id AS doc, h.turn AS node, t.role AS value, coalesce(h.turn - h.at, -1)::INTEGER AS distance FROM h LEFT JOIN t ON t.conv_id = h.conv_id AND t.turn = h.at""",
         "css_rules": """SELECT selector, prop, CASE WHEN l_linenumber % 3 = 0 THEN '@media print' ELSE '' END AS condition, count(*) AS n, count(*) FILTER (prop = 'content' AND l_partkey % 2 = 0) AS important
@@ -198,7 +202,7 @@ SELECT book, CASE WHEN a + b + c = 0 OR (a + b + c) * 2 < n THEN 'UNKNOWN' WHEN
         "quote_convention": f"""WITH c AS (SELECT source, {counted} FROM (SELECT source, {QUOTED} AS t FROM documents WHERE source IS NOT NULL) GROUP BY source), s AS ({scores})
 SELECT source, CASE WHEN any_value(total) >= 20 AND max(n) * 3 >= any_value(total) * 2 AND list_sort(list(n))[-1] <> list_sort(list(n))[-2] THEN arg_max(name, n) END AS convention FROM s GROUP BY source""",
         "ids_unique": "SELECT event_id, CASE WHEN k = 1 THEN event_type ELSE event_type || '-' || k END AS renamed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)",
-        "characters_lost": """SELECT doc_id, CASE WHEN length(whole) > length(cut) THEN length(cut) ELSE -1 END::BIGINT AS lost_at
+        "characters_lost": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN length(whole) > length(cut) THEN length(cut) ELSE -1 END WHEN 1 THEN strpos(whole, 'z') - 1 ELSE -1 END::BIGINT AS lost_at
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS whole, regexp_replace(coalesce(left(text, doc_id % 900), ''), '\\s+', '', 'g') AS cut FROM documents)""",
         "found_by_spelling": f"""SELECT CASE p_partkey % 4 WHEN 0 THEN path WHEN 1 THEN replace(path, ' ', '%20') WHEN 2 THEN lower(path) ELSE path || 'x' END AS path, CASE WHEN p_partkey % 4 < 3 THEN path END AS found,
 CASE p_partkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'decoded' WHEN 2 THEN 'case' END AS how FROM (SELECT p_partkey, {path} AS path FROM part)""",

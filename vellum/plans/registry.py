@@ -65,21 +65,19 @@ def _coverage(spark, sf):
 
 
 def _traces(spark, sf):
-    marks = spark.createDataFrame(MARKS, "tool string, pattern string, weight double")
     docs = _t(spark, sf, "documents")
     held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(p)), F.struct(F.lit(t).alias("tool"), F.lit(p).alias("pattern"), F.lit(w).alias("weight"))) for t, p, w in MARKS]))
-    del marks  # few enough to be part of the plan
     return library.noisy_or(docs.select("doc_id", F.explode(held).alias("m")).select("doc_id", "m.tool", "m.pattern", "m.weight"), ["doc_id", "tool"])
 
 
 def _graph(spark, sf):
-    lines = _t(spark, sf, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.07")
+    lines = _t(spark, sf, "lineitem")
     part, supp = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    return lines.select(part.alias("src"), supp.alias("dst")).union(lines.where("l_linenumber <= 2").select(supp, part)).distinct()
+    return lines.select(part.alias("src"), supp.alias("dst")).union(lines.where("l_linenumber = 7 AND l_partkey % 3 > 0").select(supp, part)).distinct()
 
 
-GRAPH_SQL = """l AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.07),
-edges AS (SELECT p AS src, s AS dst FROM l UNION SELECT s, p FROM l WHERE n <= 2),
+GRAPH_SQL = """l AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_linenumber AS n FROM lineitem),
+edges AS MATERIALIZED (SELECT p AS src, s AS dst FROM l UNION SELECT s, p FROM l WHERE n = 7 AND substr(p, 2)::INTEGER % 3 > 0),
 reached AS (SELECT DISTINCT src AS node FROM edges WHERE src LIKE 'p1%' AND length(src) <= 3 UNION SELECT dst FROM reached JOIN edges ON src = node)"""
 
 
@@ -155,7 +153,8 @@ def queries() -> dict:
         "library_shape": _text(lambda d: library.shape(library.inventory(d), {"with_mail": F.col("emails") > 0, "with_notice": F.col("with_notice") > 0, "hyphenated": F.col("hyphens") > 3, "large": F.col("characters") > 100000, "with_empty": F.col("empty") > 0})),
         "family_coverage": _coverage,
         "findings_ranked": lambda s, d: library.ranked(_findings(s, d)),
-        "message_normalise": _text(lambda d: d.groupBy(tx.message_shape(F.substring("text", 1, 40)).alias("shape")).agg(F.count("*").alias("n"))),
+        "findings_top": lambda s, d: library.ranked(_findings(s, d), top=4, levels=["ERROR", "INFO"]).select("place", "rule", "books"),
+        "message_normalise": _text(lambda d: d.groupBy(F.sha2(tx.message_shape(F.col("text")), 256).alias("shape")).agg(F.count("*").alias("n"))),
         "failure_reasons": lambda s, d: _t(s, d, "pages").groupBy(tx.without_paths(F.concat(F.lit("could not read "), "url", F.lit(" at 'x'"))).alias("reason")).agg(F.count("*").alias("n")),
         "generator_traces": _traces,
         "language_contradiction": _text(lambda d: d.select("doc_id", tx.looks_polish(F.col("text")).alias("looks_polish"), F.length("text").alias("length"), "lang").selectExpr("doc_id", f"{lang} AS contradicted")),
@@ -165,7 +164,7 @@ def queries() -> dict:
         "mojibake_census": _text(lambda d: d.select("doc_id", F.translate("text", "éñü", "\x80\x93\x99").alias("t")).select("doc_id", tx.misread(F.col("t")).alias("misread"), F.sha2(tx.reread(F.col("t")), 256).alias("reread"))),
         "hyphen_candidates": _text(lambda d: library.hyphen_candidates(_broken(d))),
         "hyphen_confidence": _text(lambda d: library.hyphen_candidates(_broken(d)).groupBy("confidence").agg(F.count("*").alias("n"))),
-        "vocabulary_pruned": _text(lambda d: library.vocabulary(d, library.words(d.where("doc_id % 10 = 0"), "source").where(F.length("word") >= 8).distinct())),
+        "vocabulary_pruned": _text(lambda d: library.vocabulary(d, library.words(d.where("lang = 'en'"), "source").where(F.length("word") >= 8).distinct())),
         "opaque_tokens": _text(lambda d: d.withColumn("text", F.expr(MARKED)).select("doc_id", F.explode(tx.opaque_tokens(F.split("text", "[ \n]"))).alias("token"))),
         "personal_data": _text(lambda d: d.select("doc_id", F.explode(tx.emails(F.col("text"))).alias("email"))),
         "notice_phrases": _text(lambda d: d.where(tx.has_notice(F.col("text"))).select("doc_id")),
@@ -177,7 +176,7 @@ def queries() -> dict:
         "level_jumps": lambda s, d: library.level_jumps(_t(s, d, "conversations").select("conv_id", "turn", F.pmod(F.length("text"), F.lit(5)).alias("level")), "conv_id", "turn", "level"),
         "link_edges": _links,
         "dangling_links": lambda s, d: references.dangling(_links(s, d).where("target IS NOT NULL"), _t(s, d, "pages").select(F.regexp_replace(references.site_path(F.col("url")), "^/", "").alias("target")).distinct()).groupBy("target").agg(F.count("*").alias("n")),
-        "relocation_candidates": lambda s, d: references.relocations(_t(s, d, "pages").where("page_id % 3 = 0").select(F.concat(F.lit("moved/"), tx.basename(F.col("url"))).alias("target")), _t(s, d, "pages").select(F.col("url").alias("path"))),
+        "relocation_candidates": lambda s, d: references.relocations(_t(s, d, "pages").select(F.concat(F.lit("moved/"), tx.basename(F.col("url"))).alias("target")), _t(s, d, "pages").select(F.col("url").alias("path"))),
         "reachable_nodes": _reached,
         "orphans": _orphans,
         "name_collisions": lambda s, d: references.collisions(_t(s, d, "pages").select(references.site_path(F.col("url")).alias("path"))),
@@ -187,6 +186,7 @@ def queries() -> dict:
         "signature_diff": _signatures,
         "multiset_minus": _text(lambda d: compare.multiset_minus(d.where("doc_id % 2 = 0").select("lang", "source"), d.where("doc_id % 2 = 1").select("lang", "source"), ["lang", "source"])),
         "green_streak": _runs,
+        "widenings": lambda s, d: compare.widenings(_runs(s, d)),
         "merge_plan": _merge,
         "change_summary": _changes,
         "quota_star": lambda s, d: library.coverage(_t(s, d, "customer").select(F.col("c_mktsegment").alias("family")), s.createDataFrame([("BUILDING", 300), ("MACHINERY", 250), ("NONE", 9)], "family string, want long")),
@@ -204,9 +204,9 @@ def oracle_sql() -> dict[str, str]:
     flags = f"[length(text) > 8000, length(text) < 1000, regexp_matches(text, '[0-9]{{3}}'), {looks}, {NOTICE_SQL}, contains(text, '***')]"
     hyphens = f"WITH documents AS (SELECT source, {BROKEN} AS text FROM main.documents), " + """pairs AS (SELECT source, p, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+-[\\p{L}\\p{N}]+')) AS p FROM documents) GROUP BY 1, 2),
 halves AS (SELECT source, n, string_split(p, '-')[1] AS l, string_split(p, '-')[2] AS r FROM pairs),
-kept AS (SELECT source, lower(l) AS lhs, lower(r) AS rhs, sum(n)::BIGINT AS n FROM halves WHERE NOT (regexp_matches(l || r, '\\p{N}') OR substr(r, 1, 1) <> lower(substr(r, 1, 1)) OR (l = upper(l) AND l <> lower(l)) OR length(l) = 1 OR length(r) = 1 OR lower(l) = lower(r)) GROUP BY 1, 2, 3),
-words AS (SELECT source, word, count(*) AS c FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents) GROUP BY 1, 2),
-cand AS (SELECT k.source, lhs, rhs, n, coalesce(j.c, 0) AS joined, greatest(coalesce(a.c, 0) - n, 0) AS alone FROM kept k LEFT JOIN words j ON j.source = k.source AND j.word = lhs || rhs LEFT JOIN words a ON a.source = k.source AND a.word = lhs),
+kept AS MATERIALIZED (SELECT source, lower(l) AS lhs, lower(r) AS rhs, sum(n)::BIGINT AS n FROM halves WHERE NOT (regexp_matches(l || r, '\\p{N}') OR substr(r, 1, 1) <> lower(substr(r, 1, 1)) OR (l = upper(l) AND l <> lower(l)) OR length(l) = 1 OR length(r) = 1 OR lower(l) = lower(r)) GROUP BY 1, 2, 3),
+words AS MATERIALIZED (SELECT source, word, count(*) AS c FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents) GROUP BY 1, 2),
+cand AS MATERIALIZED (SELECT k.source, lhs, rhs, n, coalesce(j.c, 0) AS joined, greatest(coalesce(a.c, 0) - n, 0) AS alone FROM kept k LEFT JOIN words j ON j.source = k.source AND j.word = lhs || rhs LEFT JOIN words a ON a.source = k.source AND a.word = lhs),
 named AS (SELECT *, CASE WHEN joined >= 1 THEN 'confirmed' WHEN n > 3 THEN 'kept' WHEN alone = 0 THEN 'likely' ELSE 'uncertain' END AS confidence FROM cand) """
     marks = ", ".join(f"({_str(t)}, {_str(p)}, {w}::DOUBLE)" for t, p, w in MARKS)
     site = "regexp_replace(string_split(url, '#')[1], '^[a-z]+://[^/]*', '')"
@@ -215,14 +215,17 @@ named AS (SELECT *, CASE WHEN joined >= 1 THEN 'confirmed' WHEN n > 3 THEN 'kept
     # The pages' links are absolute, rooted or plain, without dots: the SQL needs no stack.
     links = f"""SELECT page_id, href, from_path, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:|^//') THEN NULL ELSE array_to_string(list_filter(string_split(CASE WHEN {bare} = '' THEN from_path WHEN {bare} LIKE '/%' THEN {bare} ELSE regexp_replace(from_path, '[^/]*$', '') || {bare} END, '/'), lambda p: p <> '' AND p <> '.'), '/') END AS target
   FROM (SELECT page_id, {site} AS from_path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)"""
+    ranked = f"""SELECT *, row_number() OVER (ORDER BY books DESC, occurrences DESC, stage, level, rule)::INTEGER AS place FROM (
+  SELECT stage, level, rule, count(DISTINCT book) AS books, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT book))[1:3], ',') AS examples FROM ({FINDINGS_SQL}) GROUP BY 1, 2, 3)"""
     return {
         "book_inventory": inventory,
         "library_shape": f"""WITH b AS ({inventory}), t AS (SELECT count(*) AS books, count(*) FILTER (emails > 0) AS a, count(*) FILTER (with_notice > 0) AS b, count(*) FILTER (hyphens > 3) AS c, count(*) FILTER (characters > 100000) AS d, count(*) FILTER (empty > 0) AS e FROM b)
 SELECT unnest(['with_mail', 'with_notice', 'hyphenated', 'large', 'with_empty']) AS test, unnest([a, b, c, d, e]) AS n, books FROM t""",
         "family_coverage": f"""WITH m AS (SELECT unnest({tests}) AS family, unnest({flags}) AS is_member FROM documents), h AS (SELECT family, count(*) AS have FROM m WHERE is_member GROUP BY 1)
 SELECT family, want::BIGINT AS want, coalesce(have, 0)::BIGINT AS have, greatest(0, want - coalesce(have, 0))::BIGINT AS short FROM (VALUES {", ".join(f"({_str(f)}, {w})" for f, w in QUOTAS)}) q(family, want) LEFT JOIN h USING (family)""",
-        "findings_ranked": f"SELECT stage, level, rule, count(DISTINCT book) AS books, count(*) AS occurrences, min(book) AS example FROM ({FINDINGS_SQL}) GROUP BY 1, 2, 3",
-        "message_normalise": """SELECT trim(regexp_replace(regexp_replace(substr(text, 1, 40), '''[^'']*''|"[^"]*"|“[^”]*”|„[^”]*”', '…', 'g'), '[0-9]+(?:[.,][0-9]+)?', 'N', 'g')) AS shape, count(*) AS n FROM documents GROUP BY 1""",
+        "findings_ranked": ranked,
+        "findings_top": f"SELECT place, rule, books FROM ({ranked}) WHERE place <= 4 AND level IN ('ERROR', 'INFO')",
+        "message_normalise": """SELECT sha256(trim(regexp_replace(regexp_replace(text, '''[^'']*''|"[^"]*"|“[^”]*”|„[^”]*”', '…', 'g'), '[0-9]+(?:[.,][0-9]+)?', 'N', 'g'))) AS shape, count(*) AS n FROM documents GROUP BY 1""",
         "failure_reasons": """SELECT trim(regexp_replace('could not read ' || url || ' at ''x''', '(?:[A-Za-z]:)?[^\\s''"]*[\\\\/][^\\s''"]*', '…', 'g')) AS reason, count(*) AS n FROM pages GROUP BY 1""",
         "generator_traces": f"""WITH m AS (SELECT * FROM (VALUES {marks}) v(tool, pattern, weight)), c AS (SELECT doc_id, tool, least(0.999, round(1 - product(1 - weight), 3)) AS confidence, count(*) AS patterns FROM documents JOIN m ON contains(text, pattern) GROUP BY 1, 2) SELECT * FROM c WHERE confidence >= 0.5""",
         "language_contradiction": f"SELECT doc_id, coalesce({looks} AND lang <> 'pl' AND length(text) >= 500, false) AS contradicted FROM documents",
@@ -232,7 +235,7 @@ SELECT family, want::BIGINT AS want, coalesce(have, 0)::BIGINT AS have, greatest
         "mojibake_census": f"WITH x AS (SELECT doc_id, translate(text, 'éñü', chr(128) || chr(147) || chr(153)) AS t FROM documents) SELECT doc_id, (length(t) - length(translate(t, {_chars(tx.C1_FROM)}, '')))::INTEGER AS misread, sha256(translate(t, {_chars(tx.C1_FROM)}, {_chars(tx.C1_TO)})) AS reread FROM x",
         "hyphen_candidates": hyphens + "SELECT * FROM named",
         "hyphen_confidence": hyphens + "SELECT confidence, count(*) AS n FROM named GROUP BY 1",
-        "vocabulary_pruned": f"WITH w AS ({words.format(k='doc_id, source')}), k AS (SELECT DISTINCT source, word FROM w WHERE doc_id % 10 = 0 AND length(word) >= 8) SELECT w.source, w.word, count(*) AS n FROM w SEMI JOIN k ON w.source = k.source AND w.word = k.word GROUP BY 1, 2",
+        "vocabulary_pruned": f"WITH w AS MATERIALIZED ({words.format(k='lang, source')}), k AS (SELECT DISTINCT source, word FROM w WHERE lang = 'en' AND length(word) >= 8) SELECT w.source, w.word, count(*) AS n FROM w SEMI JOIN k ON w.source = k.source AND w.word = k.word GROUP BY 1, 2",
         "opaque_tokens": f"SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_split_to_array({MARKED}, '[ \\n]')) AS token FROM documents) WHERE regexp_full_match(token, '{tx.TOKEN}') AND regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]')",
         "personal_data": f"SELECT doc_id, unnest(regexp_extract_all(text, {_str(tx.EMAIL)})) AS email FROM documents",
         "notice_phrases": f"SELECT doc_id FROM documents WHERE {NOTICE_SQL}",
@@ -244,7 +247,7 @@ SELECT family, want::BIGINT AS want, coalesce(have, 0)::BIGINT AS have, greatest
         "level_jumps": "SELECT conv_id, count(*) FILTER (level > before + 1) AS jumps FROM (SELECT conv_id, length(text) % 5 AS level, lag(length(text) % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1",
         "link_edges": links,
         "dangling_links": f"SELECT target, count(*) AS n FROM ({links}) WHERE target IS NOT NULL AND target NOT IN (SELECT regexp_replace({site}, '^/', '') FROM pages) GROUP BY 1",
-        "relocation_candidates": f"WITH f AS (SELECT lower({base.format(x='url')}) AS name, min(url) AS moved_to FROM pages GROUP BY 1 HAVING count(DISTINCT url) = 1) SELECT DISTINCT 'moved/' || {base.format(x='url')} AS target, moved_to FROM pages JOIN f ON lower({base.format(x='url')}) = name WHERE page_id % 3 = 0",
+        "relocation_candidates": f"WITH f AS (SELECT lower({base.format(x='url')}) AS name, min(url) AS moved_to FROM pages GROUP BY 1 HAVING count(DISTINCT url) = 1) SELECT DISTINCT 'moved/' || {base.format(x='url')} AS target, moved_to FROM pages JOIN f ON lower({base.format(x='url')}) = name",
         "reachable_nodes": f"WITH RECURSIVE {GRAPH_SQL} SELECT node FROM reached",
         "orphans": f"WITH RECURSIVE {GRAPH_SQL} SELECT node FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) WHERE node NOT IN (SELECT node FROM reached)",
         "name_collisions": f"WITH p AS (SELECT {site} AS path FROM pages), v AS (SELECT unnest(['exact', 'case', 'stem', 'basename']) AS view, unnest([path, lower(path), lower(regexp_replace(path, '\\.[^./]*$', '')), lower(string_split(string_split(path, '?')[1], '/')[-1])]) AS name FROM p) SELECT view, name, count(*) AS n FROM v GROUP BY 1, 2 HAVING count(*) > 1",
@@ -259,6 +262,8 @@ w AS (SELECT *, coalesce(books >= lag(books) OVER o AND modes >= lag(modes) OVER
 i AS (SELECT *, sum(CASE WHEN NOT widened AND NOT clean THEN 1 ELSE 0 END) OVER (ORDER BY run) AS island FROM w),
 s AS (SELECT *, CASE WHEN clean AND NOT widened AND coalesce(lag(version) OVER (PARTITION BY island, clean AND NOT widened ORDER BY run) <> version, true) THEN 1 ELSE 0 END AS fresh FROM i)
 SELECT run, version, books, modes, clean, widened, sum(fresh) OVER (PARTITION BY island ORDER BY run)::BIGINT AS streak FROM s""",
+        "widenings": """SELECT conv_id AS run, 'v' || (conv_id // 2) AS version, books, modes FROM (SELECT *, lag(books) OVER o AS b, lag(modes) OVER o AS m FROM (SELECT conv_id, count(*) AS books, count(DISTINCT role) AS modes FROM conversations GROUP BY 1) WINDOW o AS (ORDER BY conv_id))
+WHERE books >= b AND modes >= m AND (books > b OR modes > m)""",
         "merge_plan": f"SELECT {site} AS name, min(page_id) FILTER (page_id % 5 <> 2) AS take, count(*) AS copies, count(DISTINCT sha256(html)) FILTER (page_id % 5 <> 2) > 1 AS conflict, min(page_id) FILTER (page_id % 5 <> 2) IS NULL AS missing FROM pages GROUP BY 1",
         "change_summary": "SELECT event_type AS action, CASE WHEN value > 50 THEN 'content' ELSE 'none' END AS risk, count(*) AS n, count(*) FILTER (user_id % 3 = 0) AS irreversible FROM events GROUP BY GROUPING SETS ((event_type, CASE WHEN value > 50 THEN 'content' ELSE 'none' END), (event_type), (CASE WHEN value > 50 THEN 'content' ELSE 'none' END), ())",
         "quota_star": "SELECT family, want::BIGINT AS want, count(c_custkey) AS have, greatest(0, want - count(c_custkey))::BIGINT AS short FROM (VALUES ('BUILDING', 300), ('MACHINERY', 250), ('NONE', 9)) q(family, want) LEFT JOIN customer ON c_mktsegment = family GROUP BY family, want",
