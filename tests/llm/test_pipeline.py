@@ -63,3 +63,24 @@ def test_stages(spark, make):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in stages["token_ids"](spark, mixed, "").collect()]
     assert sorted(got) == sorted((r.doc_id, own.encode_ordinary(r.text)) for r in mixed.collect())
+
+
+def test_clashing_columns_repeated_rows_and_nulls(spark):
+    """Further columns keep their values under names that operators use; of identical rows one stays."""
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text), (2, None), (3, ""), (None, "some other words of a text"), (None, "some other words of a text"), (4, "other words of a short text")]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", len(t or ""), float(k), k, f"i{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long, i string, block int")
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language"](spark, docs, "")
+    assert known.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.score, r.n_words, r.i, r.block) for r in known.collect()) == sorted((i or 0, float(k), k, f"i{k}", k) for k, (i, t) in enumerate(rows) if t)
+    single = stages["near_duplicates"](spark, docs, "")
+    assert single.columns == docs.columns
+    assert sorted((r.doc_id or 0 for r in single.collect())) == [0, 0, 1, 2, 3, 4]
+    cut = stages["substrings"](spark, docs, "")
+    assert sorted(map(str, cut.collect())) == sorted(map(str, docs.collect()))
+    mixed = stages["mixing"](spark, docs, "")
+    assert mixed.columns == docs.columns and {r.i for r in mixed.collect()} == {f"i{k}" for k in range(len(rows))}
+    assert sorted(r.doc_id or 0 for r in stages["token_ids"](spark, docs, "").collect()) == [0, 0, 1, 1, 1, 2, 3, 4]
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), "").count() == 0

@@ -12,7 +12,6 @@ independent, so repeated rows and ids, null ids and empty tables need nothing sp
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 
@@ -24,7 +23,7 @@ from pyspark.sql import types as T
 
 from vellum.llm import common
 
-CACHE_ENTRIES, CACHE_CHARS, LONG_BYTES = 400_000, 48, 256
+CACHE_ENTRIES, CACHE_CHARS, LONG_BYTES = 200_000, 48, 256
 NONE = np.int32(2**31 - 1)
 #: White space but for the plain space.
 SPACES = [c for c in map(chr, range(1, 0x3001)) if c.isspace() and c != " "]
@@ -183,10 +182,9 @@ class ByteBpe:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.cache
 def bpe_of(ranks_path: str, pattern: str) -> ByteBpe:
     """One a Python worker: what a task has learnt serves the next."""
-    return ByteBpe(read_ranks(ranks_path), pattern)
+    return common.held(("byte_bpe", ranks_path, pattern), lambda: ByteBpe(read_ranks(ranks_path), pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -161,6 +163,29 @@ def arrow_map(df: DataFrame, carry: list[str], text_col: str, out: T.StructType,
     return source.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task under a key: one thing at a time, so operators that follow each other in
+    the same workers don't add up."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drops what the worker keeps and gives its memory back to the system, where the C library can."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+
 def unseen(rows: list[list[str]], cache: dict, older: dict) -> list[str]:
     """The distinct items of `rows` that neither generation of a cache holds; what the older one holds moves to the younger."""
     new = set().union(*rows).difference(cache)

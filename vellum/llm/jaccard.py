@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from vellum.llm import common, packed
 from vellum.llm.components import connected_components
 
-SLICE_BYTES, PART_BYTES = 4 << 20, 8 << 20
+SLICE_BYTES, PART_BYTES = 2 << 20, 8 << 20
 #: Sets that one task pairs of a signature's; least and most bits of a bitmap (fewer bits rule out less, and change no result).
 BLOCK, BITS, MOST_BITS = 2000, 256, 4096
 #: Sets and elements of a block of a component; columns of an incidence matrix at a time.
@@ -197,6 +197,7 @@ def _request(n: int, percent: int, parts: int):
                 yield int(p), kind, packed.pack(s[own]), packed.planes(at.astype("<u4")), keys.tobytes(), sizes.tobytes()
 
     def run(batches):
+        common.let_go()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
@@ -343,6 +344,7 @@ def _near(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
     def run(batches):
+        common.let_go()
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])

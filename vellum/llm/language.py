@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -28,7 +29,7 @@ from vellum.llm import common
 
 #: Documents a fit reads at most, and n-grams it keeps for a language.
 FIT_DOCUMENTS, FIT_GRAMS = 2000, 20_000
-SWITCH, CACHE_ENTRIES, SLICE_WORDS = 6.0, 300_000, 250_000
+SWITCH, CACHE_ENTRIES, SLICE_WORDS = 6.0, 150_000, 60_000
 #: Letters of a piece at most; pieces of a longer run have at least half as many.
 PIECE = 40
 #: Share of a language's training letters that a script must have to admit it.
@@ -267,27 +268,17 @@ OUTPUT = T.StructType([
 ])
 
 
-_kept: dict[int, Labeller] = {}
-
-
-def _labeller(sent) -> Labeller:
-    """One a Python worker and model: what a task has learnt serves the next."""
-    if id(sent.value) not in _kept:
-        _kept.clear()
-        _kept[id(sent.value)] = Labeller(sent.value)
-    return _kept[id(sent.value)]
-
-
 def identify(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Appends lang_pred, score (0 to 1) and spans (runs of white-space-separated words; two that
     meet inside a word both name it) to the carried columns (doc_id)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_GRAMS a language
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by FIT_GRAMS a language
 
     def make():
-        labeller = _labeller(sent)
+        # What a task has learnt serves the next one with the same model.
+        labeller = common.held(("language", name), lambda: Labeller(sent.value))
         return lambda texts: tuple(zip(*labeller.label(texts), strict=True))
 
-    return common.arrow_map(docs, ["doc_id"] if carry is None else carry, text_col, OUTPUT, make, slice_bytes=4 << 20)
+    return common.arrow_map(docs, ["doc_id"] if carry is None else carry, text_col, OUTPUT, make)
 
 
 def train(docs: DataFrame) -> dict:

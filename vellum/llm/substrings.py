@@ -41,6 +41,7 @@ def _ask(window: int, parts: int):
     """A block's distinct windows, one row for each range of hashes."""
 
     def ask(table: pa.Table) -> pa.Table:
+        common.let_go()
         block = table.column("__block")[0].as_py()
         hashes = np.unique(packed.Words(table.column("__text").to_pylist()).windows(window)[0]) if block >= 0 else np.empty(0, np.uint64)
         edges = np.searchsorted(packed.part_of(hashes, parts), np.arange(parts + 1))
@@ -51,7 +52,7 @@ def _ask(window: int, parts: int):
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Of one range of hashes: the windows of each block that an earlier block has too, by the nearest such holder."""
+    """Of one range of hashes: windows that a block shares with an earlier one, a row for each such nearest holder."""
     table = table.sort_by("block")
     lists = [packed.unpack(x) for x in table.column("hashes").to_pylist()]
     flat, block = np.concatenate(lists), np.repeat(table.column("block").to_numpy(), [len(x) for x in lists])
@@ -60,10 +61,11 @@ def _recurring(table: pa.Table) -> pa.Table:
     first = np.append(True, flat[1:] != flat[:-1])
     holder = np.roll(block, 1)[~first]
     flat, block = flat[~first], block[~first]
-    order = np.lexsort((flat, block, holder))
+    order = np.argsort(holder, kind="stable")
     flat, block, holder = flat[order], block[order], holder[order]
-    edge = np.flatnonzero(np.diff(holder, prepend=-2) | np.diff(block, prepend=-2)) if len(flat) else np.empty(0, np.int64)
-    return pa.table({"holder": pa.array(holder[edge], pa.int32()), "block": pa.array(block[edge], pa.int32()), "hashes": pa.array([packed.pack(flat[a:b]) for a, b in zip(edge, [*edge[1:], len(flat)], strict=True)] if len(edge) else [], pa.binary())})
+    edge = np.flatnonzero(np.diff(holder, prepend=-2)) if len(flat) else np.empty(0, np.int64)
+    spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(flat)], strict=True)) if len(edge) else []
+    return pa.table({"holder": pa.array(holder[edge], pa.int32()), "blocks": pa.array([packed.planes(block[a:b].astype("<i4")) for a, b in spans], pa.binary()), "hashes": pa.array([packed.planes(flat[a:b]) for a, b in spans], pa.binary())})
 
 
 def _runs(places: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
@@ -75,19 +77,21 @@ def _hold(window: int):
     """The passages that later blocks have asked a block for: words parted by spaces, passages by line ends."""
 
     def hold(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted: dict[int, list[np.ndarray]] = {}
-        for block, hashes in zip(asked.column("block").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
-            wanted.setdefault(block, []).append(packed.unpack(hashes))
-        passages = []
-        if wanted:
+        blocks, passages = np.empty(0, np.int32), []
+        if len(asked):
+            block = np.concatenate([packed.unplanes(x, np.int32) for x in asked.column("blocks").to_pylist()])
+            asking = np.concatenate([packed.unplanes(x, np.uint64) for x in asked.column("hashes").to_pylist()])
+            order = np.argsort(block, kind="stable")
+            blocks, first = np.unique(block[order], return_index=True)
+            asking = np.split(asking[order], first[1:])
             words = packed.Words(docs.column("__text").to_pylist())
             hashes, places = words.windows(window)
             distinct, first = np.unique(hashes, return_index=True)
             plain, start = words.plain()
-            for hashes in wanted.values():
-                at = np.sort(places[first[np.searchsorted(distinct, np.concatenate(hashes))]])
+            for wanted in asking:
+                at = np.sort(places[first[np.searchsorted(distinct, wanted)]])
                 passages.append(b"\n".join(plain[start[run[0]] : start[run[-1] + window] - 1] for run in _runs(at, words.doc)))
-        return pa.table({"block": pa.array(list(wanted), pa.int32()), "passages": pa.array(passages, pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.int32()), "passages": pa.array(passages, pa.binary())})
 
     return hold
 
@@ -150,6 +154,7 @@ def _locate(window: int, carry: list[str], text: bool):
     """Streams a block's documents through its automaton; rows of the carried columns and `OUTPUT`."""
 
     def locate(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        common.let_go()
         docs = docs.sort_by("__id")
         ids, n = docs.column("__id").to_pylist(), len(docs)
         words = packed.Words(docs.column("__text").to_pylist())
@@ -197,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = rows.withColumn("__block", common.ordered_blocks(rows, "__id", 2 * least, size, block_bytes, spread="__text"))
     # All three uses group the same rows by block, so Spark shuffles the texts once and reads that exchange again.
     asked = dealt.groupBy("__block").applyInArrow(_ask(window, parts), "block int, part int, hashes binary")
-    recurring = asked.groupBy("part").applyInArrow(_recurring, "holder int, block int, hashes binary")
+    recurring = asked.groupBy("part").applyInArrow(_recurring, "holder int, blocks binary, hashes binary")
     sent = dealt.groupBy("__block").cogroup(recurring.groupBy("holder")).applyInArrow(_hold(window), "block int, passages binary")
     schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields, *OUTPUT.fields])
     return dealt.groupBy("__block").cogroup(sent.groupBy("block")).applyInArrow(_locate(window, carry, keep_text), schema)

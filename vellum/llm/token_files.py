@@ -4,14 +4,15 @@ ORC stores the ids as a list of integers in run-length encoding; every stripe ca
 document id per row group and a Bloom filter on it, so a reader prunes stripes and row groups from metadata alone
 and reads stripes in parallel.
 
-Cases: a null or empty text is the end id alone; a null doc_id sorts first (block -1) and keeps its row; repeated ids
+Cases: a null or empty text is the end id alone; null doc_ids sort first (in blocks below 0, by the hash of the text) and keep their rows; repeated ids
 are all kept, ordered by text; an empty table gives empty files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from vellum.llm import common
 
 #: Entries a worker keeps of its cache of encoded words (two generations), and the longest word that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 450_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 #: Rows of an ORC row group, bytes of a stripe, false positives of the Bloom filter.
 ROW_GROUP, STRIPE_BYTES, BLOOM_FPP = 1000, 16 << 20, 0.01
 
@@ -33,15 +34,23 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
-#: A private-use character that parts words joined for one call of the library.
-MARK = "\ue000"
+#: Letters, digits and marks of Latin-1 as the vocabulary's own pattern parts them (fixed: it is the file's).
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w²³¹¼½¾]|_)+")
+#: Characters that Python's classes and the vocabulary's see differently.
+ODD = re.compile("[\x1c-\x1f]|[^\x00-\xff]|<\\|")
+#: Marks that often end a word; each is a piece of its own.
+MARKS = frozenset(".,;:!?")
+#: Pieces that one call of the library encodes together, and such calls at a time.
+RUN, RUNS = 500, 16
 
 
 class WordCachedEncoder:
     """Whole texts through the `tokenizers` library, a word at a time.
 
     The vocabulary's pre-tokeniser never joins characters across white space, so a text's ids are its
-    space- or newline-separated words' ids in order; each distinct word is encoded once and remembered.
+    space- or newline-separated words' ids in order; each distinct word is encoded once and remembered. Words of Latin-1
+    are parted into the pre-tokeniser's pieces, of which the library encodes many at once: a piece ends where a token
+    with the end-of-word suffix is. Other words go to the library one by one.
     """
 
     def __init__(self, path: str):
@@ -49,60 +58,64 @@ class WordCachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.mark = np.asarray(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.int64)
-
-    def _words(self, text: str | None) -> list[str]:
-        """The vocabulary ignores case; lowering is left to the library where Python's might differ or make a special token."""
-        if not text:
-            return []
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").split(" ")
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        out = [b""] * len(words)
-        odd = [i for i, w in enumerate(words) if MARK in w or len(w) > CACHE_CHARS]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = np.asarray(e.ids, "<u4").tobytes()
-        plain = sorted(set(range(len(words))).difference(odd))
-        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        joined = [f" {MARK} ".join([words[i] for i in run]) for run in runs]
-        first, size = self.mark[0], len(self.mark)
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            at = np.flatnonzero(ids[: max(0, len(ids) - size + 1)] == first)
-            at = at[(ids[at[:, None] + np.arange(size)] == self.mark).all(axis=1)]
-            if len(at) != len(run) - 1:
-                raise ValueError("the mark isn't encoded alike everywhere")
-            raw = ids.tobytes()
-            for i, a, b in zip(run, [0, *((at + size) * 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True):
-                out[i] = raw[a:b]
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        for a in range(0, len(pieces), RUN * RUNS):
+            runs = [pieces[i : i + RUN] for i in range(a, min(a + RUN * RUNS, len(pieces)), RUN)]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, "<u4")
+                at = np.flatnonzero(self.ends[ids]) + 1
+                if len(at) != len(run):
+                    raise ValueError("a piece doesn't end with the end-of-word suffix")
+                raw = ids.tobytes()
+                out.update(zip(run, (raw[a:b] for a, b in zip([0, *(at[:-1] * 4).tolist()], (at * 4).tolist(), strict=True)), strict=True))
         return out
 
+    def _learn(self, words: list[str], odd: list[str]) -> dict[str, bytes]:
+        """Ids of words that the cache doesn't hold, and of their pieces. The first are of Latin-1 and lower case."""
+        cache = self.cache
+        whole = [w for w in words if w.isalpha()]  # their own only piece
+        ended = [w for w in words if w[-1] in MARKS and w[:-1].isalpha()]
+        parts = {w: PIECES.findall(w) for w in set(words).difference(whole, ended)}
+        fresh = {w[:-1] for w in ended}.union(*parts.values(), (w[-1] for w in ended)).difference(whole)
+        made = self._encode_pieces([*whole, *sorted(p for p in fresh if p not in cache)])
+        for w in ended:
+            made[w] = (made.get(w[:-1]) or cache[w[:-1]]) + (made.get(w[-1]) or cache[w[-1]])
+        for w, ps in parts.items():
+            made[w] = b"".join([made[p] if p in made else cache[p] for p in ps])
+        for a in range(0, len(odd), RUN):
+            made |= {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(odd[a : a + RUN], self.tokenizer.encode_batch_fast(odd[a : a + RUN], add_special_tokens=False), strict=True)}
+        return made
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {"": b""}
-        cache, long_ = self.cache, {}
-        rows = [self._words(t) for t in texts]
-        new = common.unseen(rows, cache, self.older)
-        for w, ids in zip(new, self._encode_words(new), strict=True):
-            (cache if len(w) <= CACHE_CHARS else long_)[w] = ids
-        if long_:
-            return [b"".join([cache[w] if w in cache else long_[w] for w in words]) for words in rows]
+        cache, passing = self.cache, {}
+        odd = [bool(t and ODD.search(t)) for t in texts]
+        # The vocabulary ignores case; lowering is left to the library where Python's might differ or make a special token.
+        rows = [(t if o else t.lower()).replace("\n", " ").split(" ") if t else [] for t, o in zip(texts, odd, strict=True)]
+        plain = common.unseen([r for r, o in zip(rows, odd, strict=True) if not o], cache, self.older)
+        other = set(common.unseen([r for r, o in zip(rows, odd, strict=True) if o], cache, self.older)).difference(plain)
+        for w, ids in self._learn(plain, list(other)).items():
+            (cache if len(w) <= CACHE_CHARS else passing)[w] = ids
+        if passing:
+            return [b"".join([cache[w] if w in cache else passing[w] for w in words]) for words in rows]
         return [b"".join(map(cache.__getitem__, words)) for words in rows]
 
 
-@functools.cache
 def encoder_of(path: str) -> WordCachedEncoder:
     """One a Python worker: what a task has learnt serves the next."""
-    return WordCachedEncoder(path)
+    return common.held(("tokens", path), lambda: WordCachedEncoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -134,7 +147,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, block
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=FILE_SCHEMA.names)
 
-    placed = rows.withColumn("block", common.ordered_blocks(rows, "doc_id", blocks)).select("block", "doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    placed = rows.withColumn("block", common.ordered_blocks(rows, "doc_id", blocks, size, spread="text")).select("block", "doc_id", "text")
     ordered = placed.repartitionByRange(common.partitions(spark), "block").sortWithinPartitions("block", "doc_id", "text")
     encoded = ordered.mapInArrow(encode, FILE_SCHEMA)
     (encoded.write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_GROUP)
@@ -161,6 +175,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
     schema = T.StructType([*tokens.schema.fields[:3], T.StructField("ids_crc32", T.LongType())])
 
     def crc(batches):
+        common.let_go()
         for batch in batches:
             ids = batch.column("ids")
             flat = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
