@@ -14,7 +14,7 @@ DATES = """CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHE
  WHEN 3 THEN strftime(o_orderdate, '%Y-%m') WHEN 4 THEN 'printed in ' || strftime(o_orderdate, '%Y') || ', revised' ELSE 'undated' END"""
 LENGTHS = "CAST(l_linenumber AS VARCHAR(9)) || CASE l_orderkey % 6 WHEN 0 THEN 'em' WHEN 1 THEN '.5rem' WHEN 2 THEN ' px' WHEN 3 THEN 'pt' WHEN 4 THEN '%' ELSE '' END"
 IDENTIFIERS = "CASE p_partkey % 5 WHEN 0 THEN 'urn:isbn:' || p_partkey WHEN 1 THEN '978-3-16-148410-' || (p_partkey % 10) WHEN 2 THEN '10.1000/' || p_partkey WHEN 3 THEN 'urn:uuid:' || p_partkey ELSE 'book ' || p_partkey END"
-SELECTORS = "CASE doc_id % 4 WHEN 0 THEN 'body > p.' || source WHEN 1 THEN '#d' || (doc_id % 9) || ' p.' || source WHEN 2 THEN 'p.' || source || ':first-child' ELSE 'div a[href].' || source || '::before' END"
+SELECTORS = "CASE (doc_id * 7 + length(coalesce(text, ''))) % 4 WHEN 0 THEN 'body > p.' || source WHEN 1 THEN '#d' || (doc_id % 9) || ' p.' || source WHEN 2 THEN 'p.' || source || ':first-child' ELSE 'div a[href].' || source || '::before' END"
 #: Text with quotation marks put in by a rule: some sources keep to one pair, others mix two.
 QUOTED = "CASE length(source) % 3 WHEN 0 THEN '„' || text || '”' WHEN 1 THEN '«' || text || '»' ELSE CASE doc_id % 2 WHEN 0 THEN '“' || text || '”' ELSE '„' || text || '“' END END"
 
@@ -175,7 +175,7 @@ strftime(coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y-%m-%dT%H:
         "css_specificity": f"SELECT doc_id, ids, classes, types, key FROM ({spec})",
         "css_duplicate_props": "SELECT user_id AS block, event_type AS prop, event_id AS ord FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 90) DESC, event_id DESC) > 1",
         "css_winning_props": "SELECT user_id AS block, event_type AS prop, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 90) DESC, event_id DESC) = 1",
-        "css_equal_classes": "WITH c AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS s FROM events GROUP BY 1) SELECT user_id AS name, min(user_id) OVER w AS first, count(*) OVER w AS n FROM c QUALIFY n > 1 WINDOW w AS (PARTITION BY s)",
+        "css_equal_classes": "WITH c AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS s FROM events GROUP BY 1) SELECT * FROM (SELECT user_id AS name, min(user_id) OVER w AS first, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY s)) WHERE n > 1",
         "css_dead_classes": "WITH u AS (SELECT DISTINCT l_partkey * 2 AS name FROM lineitem) SELECT p_partkey AS name, 'dead' AS state FROM part WHERE p_partkey NOT IN (SELECT name FROM u) UNION ALL SELECT name, 'bare' FROM u WHERE name NOT IN (SELECT p_partkey FROM part)",
         "css_out_of_order": f"WITH r AS ({spec}) SELECT lang AS sheet, doc_id AS ord, s AS selector FROM r WHERE EXISTS (SELECT 1 FROM r b WHERE b.lang IS NOT DISTINCT FROM r.lang AND b.key = r.key AND b.doc_id < r.doc_id AND (b.ids, b.classes, b.types) > (r.ids, r.classes, r.types))",
         "css_cascade": """SELECT c_custkey AS node, 'color' AS prop, 'black' AS value, false AS targeted FROM customer UNION ALL

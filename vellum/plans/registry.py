@@ -43,6 +43,15 @@ def _broken(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.expr(BROKEN))
 
 
+#: Up to `named`: candidates with their confidence.
+HYPHENS_SQL = f"WITH documents AS (SELECT source, {BROKEN} AS text FROM main.documents), " + """pairs AS (SELECT source, p, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+-[\\p{L}\\p{N}]+')) AS p FROM documents) GROUP BY 1, 2),
+halves AS (SELECT source, n, string_split(p, '-')[1] AS l, string_split(p, '-')[2] AS r FROM pairs),
+kept AS MATERIALIZED (SELECT source, lower(l) AS lhs, lower(r) AS rhs, sum(n)::BIGINT AS n FROM halves WHERE NOT (regexp_matches(l || r, '\\p{N}') OR substr(r, 1, 1) <> lower(substr(r, 1, 1)) OR (l = upper(l) AND l <> lower(l)) OR length(l) = 1 OR length(r) = 1 OR lower(l) = lower(r)) GROUP BY 1, 2, 3),
+words AS MATERIALIZED (SELECT source, word, count(*) AS c FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents) GROUP BY 1, 2),
+cand AS MATERIALIZED (SELECT k.source, lhs, rhs, n, coalesce(j.c, 0) AS joined, greatest(coalesce(a.c, 0) - n, 0) AS alone FROM kept k LEFT JOIN words j ON j.source = k.source AND j.word = lhs || rhs LEFT JOIN words a ON a.source = k.source AND a.word = lhs),
+named AS (SELECT *, CASE WHEN joined >= 1 THEN 'confirmed' WHEN n > 3 THEN 'kept' WHEN alone = 0 THEN 'likely' ELSE 'uncertain' END AS confidence FROM cand) """
+
+
 MARKS = [("quill", "the", 0.4), ("quill", "and", 0.3), ("quill", " la ", 0.6), ("press", " der ", 0.7), ("press", " und ", 0.5), ("press", " que ", 0.2), ("binder", "###", 0.45), ("binder", " | ", 0.35), ("binder", "$$$", 0.45)]
 QUOTAS = [("long", 30), ("short", 400), ("digits", 20), ("polish", 200), ("notice", 50), ("junk", 90), ("never", 5)]
 
@@ -155,7 +164,7 @@ def queries() -> dict:
         "findings_ranked": lambda s, d: library.ranked(_findings(s, d)),
         "findings_top": lambda s, d: library.ranked(_findings(s, d), top=4, levels=["ERROR", "INFO"]).select("place", "rule", "books"),
         "message_normalise": _text(lambda d: d.groupBy(F.sha2(tx.message_shape(F.col("text")), 256).alias("shape")).agg(F.count("*").alias("n"))),
-        "failure_reasons": lambda s, d: _t(s, d, "pages").groupBy(tx.without_paths(F.concat(F.lit("could not read "), "url", F.lit(" at 'x'"))).alias("reason")).agg(F.count("*").alias("n")),
+        "failure_reasons": lambda s, d: _t(s, d, "pages").groupBy(tx.without_paths(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("could not read "), "url", F.lit(" at 'x'"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("no entry C:\\books\\"), F.col("page_id").cast("string"), F.lit(" in shelf "), F.col("page_id") % 2)).otherwise("damaged")).alias("reason")).agg(F.count("*").alias("n")),
         "generator_traces": _traces,
         "language_contradiction": _text(lambda d: d.select("doc_id", tx.looks_polish(F.col("text")).alias("looks_polish"), F.length("text").alias("length"), "lang").selectExpr("doc_id", f"{lang} AS contradicted")),
         "dominant_language_per_source": _text(lambda d: library.dominant(d, "source", "lang")),
@@ -202,12 +211,6 @@ def oracle_sql() -> dict[str, str]:
   count(*) FILTER ({NOTICE_SQL.replace("text,", "t,")}) AS with_notice, count(*) FILTER (t = '') AS empty FROM (SELECT source, coalesce(text, '') AS t FROM documents) GROUP BY 1"""
     tests = "['long', 'short', 'digits', 'polish', 'notice', 'junk']"
     flags = f"[length(text) > 8000, length(text) < 1000, regexp_matches(text, '[0-9]{{3}}'), {looks}, {NOTICE_SQL}, contains(text, '***')]"
-    hyphens = f"WITH documents AS (SELECT source, {BROKEN} AS text FROM main.documents), " + """pairs AS (SELECT source, p, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+-[\\p{L}\\p{N}]+')) AS p FROM documents) GROUP BY 1, 2),
-halves AS (SELECT source, n, string_split(p, '-')[1] AS l, string_split(p, '-')[2] AS r FROM pairs),
-kept AS MATERIALIZED (SELECT source, lower(l) AS lhs, lower(r) AS rhs, sum(n)::BIGINT AS n FROM halves WHERE NOT (regexp_matches(l || r, '\\p{N}') OR substr(r, 1, 1) <> lower(substr(r, 1, 1)) OR (l = upper(l) AND l <> lower(l)) OR length(l) = 1 OR length(r) = 1 OR lower(l) = lower(r)) GROUP BY 1, 2, 3),
-words AS MATERIALIZED (SELECT source, word, count(*) AS c FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents) GROUP BY 1, 2),
-cand AS MATERIALIZED (SELECT k.source, lhs, rhs, n, coalesce(j.c, 0) AS joined, greatest(coalesce(a.c, 0) - n, 0) AS alone FROM kept k LEFT JOIN words j ON j.source = k.source AND j.word = lhs || rhs LEFT JOIN words a ON a.source = k.source AND a.word = lhs),
-named AS (SELECT *, CASE WHEN joined >= 1 THEN 'confirmed' WHEN n > 3 THEN 'kept' WHEN alone = 0 THEN 'likely' ELSE 'uncertain' END AS confidence FROM cand) """
     marks = ", ".join(f"({_str(t)}, {_str(p)}, {w}::DOUBLE)" for t, p, w in MARKS)
     site = "regexp_replace(string_split(url, '#')[1], '^[a-z]+://[^/]*', '')"
     base = "string_split(string_split(string_split({x}, '#')[1], '?')[1], '/')[-1]"
@@ -226,15 +229,15 @@ SELECT family, want::BIGINT AS want, coalesce(have, 0)::BIGINT AS have, greatest
         "findings_ranked": ranked,
         "findings_top": f"SELECT place, rule, books FROM ({ranked}) WHERE place <= 4 AND level IN ('ERROR', 'INFO')",
         "message_normalise": """SELECT sha256(trim(regexp_replace(regexp_replace(text, '''[^'']*''|"[^"]*"|“[^”]*”|„[^”]*”', '…', 'g'), '[0-9]+(?:[.,][0-9]+)?', 'N', 'g'))) AS shape, count(*) AS n FROM documents GROUP BY 1""",
-        "failure_reasons": """SELECT trim(regexp_replace('could not read ' || url || ' at ''x''', '(?:[A-Za-z]:)?[^\\s''"]*[\\\\/][^\\s''"]*', '…', 'g')) AS reason, count(*) AS n FROM pages GROUP BY 1""",
+        "failure_reasons": """SELECT trim(regexp_replace(CASE page_id % 3 WHEN 0 THEN 'could not read ' || url || ' at ''x''' WHEN 1 THEN 'no entry C:\\books\\' || page_id || ' in shelf ' || page_id % 2 ELSE 'damaged' END, '(?:[A-Za-z]:)?[^\\s''"]*[\\\\/][^\\s''"]*', '…', 'g')) AS reason, count(*) AS n FROM pages GROUP BY 1""",
         "generator_traces": f"""WITH m AS (SELECT * FROM (VALUES {marks}) v(tool, pattern, weight)), c AS (SELECT doc_id, tool, least(0.999, round(1 - product(1 - weight), 3)) AS confidence, count(*) AS patterns FROM documents JOIN m ON contains(text, pattern) GROUP BY 1, 2) SELECT * FROM c WHERE confidence >= 0.5""",
         "language_contradiction": f"SELECT doc_id, coalesce({looks} AND lang <> 'pl' AND length(text) >= 500, false) AS contradicted FROM documents",
         "dominant_language_per_source": """WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT source, sum(n)::BIGINT AS total, max(n) AS n, arg_max(lang, (n, lang)) AS top FROM c GROUP BY 1) SELECT source, CASE WHEN n * 3 >= total * 2 AND total >= 20 THEN top END AS dominant, n, total FROM t""",
         "canonical_text_hash": f"SELECT doc_id, sha256({CANON_SQL.format(x='w')}) AS digest FROM (SELECT doc_id, {WORN} AS w FROM documents)",
         "typography_conserved": f"SELECT doc_id, {CANON_SQL.format(x='w')} = {CANON_SQL.format(x="replace(w, '...', '…')")} AS unchanged, (length(w) - length(replace(w, '...', '…')))::INTEGER AS shorter FROM (SELECT doc_id, {WORN} AS w FROM documents)",
         "mojibake_census": f"WITH x AS (SELECT doc_id, translate(text, 'éñü', chr(128) || chr(147) || chr(153)) AS t FROM documents) SELECT doc_id, (length(t) - length(translate(t, {_chars(tx.C1_FROM)}, '')))::INTEGER AS misread, sha256(translate(t, {_chars(tx.C1_FROM)}, {_chars(tx.C1_TO)})) AS reread FROM x",
-        "hyphen_candidates": hyphens + "SELECT * FROM named",
-        "hyphen_confidence": hyphens + "SELECT confidence, count(*) AS n FROM named GROUP BY 1",
+        "hyphen_candidates": HYPHENS_SQL + " SELECT * FROM named",
+        "hyphen_confidence": HYPHENS_SQL + " SELECT confidence, count(*) AS n FROM named GROUP BY 1",
         "vocabulary_pruned": f"WITH w AS MATERIALIZED ({words.format(k='lang, source')}), k AS (SELECT DISTINCT source, word FROM w WHERE lang = 'en' AND length(word) >= 8) SELECT w.source, w.word, count(*) AS n FROM w SEMI JOIN k ON w.source = k.source AND w.word = k.word GROUP BY 1, 2",
         "opaque_tokens": f"SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_split_to_array({MARKED}, '[ \\n]')) AS token FROM documents) WHERE regexp_full_match(token, '{tx.TOKEN}') AND regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]')",
         "personal_data": f"SELECT doc_id, unnest(regexp_extract_all(text, {_str(tx.EMAIL)})) AS email FROM documents",
