@@ -3,9 +3,11 @@
 import duckdb
 import pytest
 
-from vellum.plans import registry
+from vellum.plans import rebuilt, registry, stages
 
 SF = "/root/testdata/sf0.001"
+QUERIES = registry.queries() | stages.queries() | rebuilt.queries()
+SQL = registry.oracle_sql() | stages.oracle_sql() | rebuilt.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -19,17 +21,17 @@ def duck():
 
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    text = lambda v: str(round(v, 6) if isinstance(v, float) else v)
+    text = lambda v: str(round(v, 6) if isinstance(v, float) else [text(x) for x in v] if isinstance(v, (list, tuple)) else v)
     return sorted(tuple(text(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
-    got = registry.queries()[name](spark, SF)
-    want = duck.sql(registry.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(QUERIES) == set(SQL)

@@ -72,7 +72,7 @@ def without_notices(text: Column) -> Column:
         before, after = F.trim(part(1)), F.trim(part(4))
         keep_before, keep_after = reads_as_prose(before), reads_as_prose(after)
         empty = F.lit("")
-        gone = F.trim(F.concat(F.when(keep_before | (before == ""), empty).otherwise(F.concat(before, F.lit(" "))), part(2), part(3), F.when(keep_after, empty).otherwise(after)))
+        gone = F.trim(F.concat(F.when(keep_before | (before == ""), empty).otherwise(F.concat(before, F.lit(" "))), F.trim(F.concat(part(2), part(3))), F.when(keep_after | (after == ""), empty).otherwise(F.concat(F.lit(" "), after))))
         kept = F.filter(F.array(F.when(keep_before, before).otherwise(empty), F.when(keep_after, after).otherwise(empty)), lambda x: x != "")
         return F.struct(kept.alias("kept"), F.array(gone).alias("gone"))
 

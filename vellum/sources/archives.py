@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An entry may be this large, and this many times its compressed size once it is beyond `RATIO_FLOOR` bytes.
-ENTRY_BYTES, RATIO, RATIO_FLOOR, CHUNK = 512 << 20, 200, 1 << 20, 1 << 20
+ENTRY_BYTES, RATIO, RATIO_FLOOR, CHUNK = 512 << 20, 200, 64 << 10, 1 << 20
 #: Every entry carries this time, so that equal books are equal bytes.
 STAMP = (1980, 1, 1, 0, 0, 0)
 ENTRY_SCHEMA = "book string, name string, declared_size long, size long, ok boolean, reason string, digest string, data binary"

@@ -31,6 +31,20 @@ def counted(stream: DataFrame, keys: dict[str, Column], where: str | None = None
     return spark.read.parquet(f"{base}/parts").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def finished(stream: DataFrame, where: str | None = None) -> DataFrame:
+    """What a streaming aggregate holds when all that is there has been read: each batch replaces its own folder, the last one
+    is the whole."""
+    spark = stream.sparkSession
+    base = where or f"{shared_folder(spark)}/vellum/{spark.sparkContext.applicationId}/whole-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number == 0 or not batch.isEmpty():  # a batch that only moves the watermark on says nothing new
+            batch.write.mode("overwrite").parquet(f"{base}/whole")
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/whole")
+
+
 def tumbling(ts: Column, width: str) -> Column:
     """The start of the window of `width` that a time falls in."""
     return F.window(ts, width)["start"]
