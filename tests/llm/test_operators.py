@@ -41,7 +41,10 @@ def test_byte_bpe(make, texts):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = {r.doc_id: r for r in byte_bpe.encode(make(texts), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, carry=["doc_id", "N_Tokens"]).collect()}
     bpe = byte_bpe.ByteBpe(ranks, P.PATTERN)
+    both = {r.doc_id: r for r in byte_bpe.round_trip(make(texts), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
     for i, t in enumerate(texts):
+        ids = np.array(own.encode_ordinary(t or ""), "<u4")
+        assert (both[i].n_tokens, both[i].ids_sha256, both[i].decoded_sha256) == (len(ids), _sha(ids.tobytes()), _sha((t or "").encode()))
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == own.encode_ordinary(t or "")
         assert bpe.decode(rows[i].ids) == (t or "").encode()
 
@@ -138,13 +141,26 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100 + k: 100 for k in range(30)}
 
 
+def _leaves(text):
+    """The tree's leaves by their definition: every line's words, cut at 0, 1, 2, 4, 8, 16, 24, ..."""
+    out = []
+    for line in (x for section in text.split("\n\n") for x in section.split("\n")):
+        words = line.split(" ")
+        cuts = [c for c in [0, 1, 2, 4, *range(8, len(words) + 8, 8)] if c < len(words)]
+        out += [_sha(" ".join(words[a:b]).encode())[:8] for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+    return out
+
+
 def test_fingerprints(make, texts):
     rows = {r.doc_id: r for r in fingerprints.compare_with_next(make(texts)).collect()}
+    dice = lambda a, b: 2 * len(set(_leaves(a)) & set(_leaves(b))) / (len(set(_leaves(a))) + len(set(_leaves(b))))
     for i, t in enumerate(texts):
         t, after = t or "", texts[i - 1] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert (rows[i].n_chars, rows[i].edited_sha256) == (len(t), _sha(edited.encode()))
-        assert 0 <= rows[i].near_next <= 1 and 0 <= rows[i].near_edited <= 1
+        assert rows[i].near_next == pytest.approx(dice(t, after)) and rows[i].near_edited == pytest.approx(dice(t, edited))
+        printed = rows[i].fingerprint.split("|")[1]
+        assert "".join(re.findall(r":([0-9a-f]+)", printed)) == "".join(_leaves(t))
         for j, other in enumerate(texts):
             assert (rows[i].fingerprint == rows[j].fingerprint) == (t == (other or ""))
 
@@ -166,6 +182,19 @@ def test_media(make, texts):
     assert rows[3].feature == rows[4].feature and rows[3].media_sha256 == rows[4].media_sha256
 
 
+@pytest.mark.parametrize("high", [1, 3, 31, 33, 700, 5000])
+def test_media_hash(high):
+    """The hash by its definition: samples averaged to 32 by 32 cells, low frequencies against their median."""
+    samples = np.random.default_rng(high).integers(0, 256, (high, 64, 3), np.uint8)
+    grey = samples.mean(axis=2)
+    share = lambda n: np.array([[max(0.0, min((c + 1) * n / 32, i + 1) - max(c * n / 32, i)) * 32 / n for i in range(n)] for c in range(32)])
+    cells = share(high) @ grey @ share(64).T
+    k = np.arange(media.HASH)[:, None]
+    cosines = np.cos(np.pi * (np.arange(32) + 0.5) * k / 32)
+    low = np.round(cosines @ cells @ cosines.T, 6).ravel()
+    assert media.perceptual_hash(samples) == np.packbits(low > np.median(low[1:])).tobytes().hex()
+
+
 def test_png_damage_and_filters():
     image = bytearray(media.to_png(b"a" * 192))
     image[60] ^= 1
@@ -195,6 +224,19 @@ def test_licences(spark, make):
     assert rows[3].digest is None and rows[2].n_licence_lines == 2
 
 
+def test_licence_files_as_people_keep_them(spark, make):
+    """Titles, statements, wrapped lines, other marks of lists and spellings don't hide a licence; other words do."""
+    import textwrap
+
+    known = dict(licences.TEXTS)
+    files = ["\n\n".join(textwrap.fill(p, 60, break_on_hyphens=False) for p in text.split("\n\n")) for text in known.values()]
+    titled = ["MIT License\n\nCopyright (c) 2020 Jan Nowak <j@x.pl>\nCopyright 2021 Others\n\n" + known["MIT"], "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + known["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")]
+    other = [known["ISC"] + " and more", known["MIT"].replace("without limitation", "with limitation"), "Copyright (c) 2020 X", "MIT License"]
+    rows = {r.doc_id: r for r in licences.scan(make(files + titled + other), licences.known_licences(spark)).collect()}
+    assert [rows[i].text_licence for i in range(len(rows))] == [*known, "MIT", "BSD-3-Clause", None, None, None, None]
+    assert "copyright notice and this permission" in textwrap.fill(known["ISC"], 60).lower().replace("\n", " ")
+
+
 def test_mixing(make):
     docs = make([f"{'w ' * (i % 7 + 1)}" for i in range(90)])
     rows = mixing.plan(docs, repetition_limit=1.5, block_tokens=50).collect()

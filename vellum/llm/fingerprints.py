@@ -5,8 +5,8 @@ its start (1, 2, 4, 8, 16, 24, ...) into leaves. Every node's digest covers its
 texts and unequal branches lead to the edits. The fingerprint string is the root, then each section's digest with its paragraphs'
 and leaves' (8 hexadecimal digits each).
 
-Cases: a null text counts as empty (one empty leaf); texts are whole, however long; null ids come first in id order;
-rows that share an id are ordered by text; repeated rows each keep their row; the only row of a table is its own next;
+Cases: a null text counts as empty (one empty leaf); texts are whole, however long; null ids come first in id order, in blocks
+by the hash of their texts; rows that share an id are ordered by a hash of their texts; repeated rows each keep their row; the only row of a table is its own next;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -71,32 +71,39 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.flatten(F.transform(differing, inside)))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the next document in descending id order; after the last comes the first.
+def with_next(rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text, …) with `next_` columns: those of the next document in descending id order; after the last comes
+    the first.
 
     Blocks of ids are sorted apart; the largest id of a block is sent to the following one as well, so no task sees all
     rows and texts are shuffled once.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    block = common.ordered_blocks(rows.select("doc_id"), "doc_id", 4 * common.partitions(spark))
-    # One row a block, whose number is bounded by the number of partitions.
-    tops = rows.select("doc_id", block.alias("of_block")).groupBy("of_block").agg(F.max("doc_id").alias("top"))
+    spark, along = rows.sparkSession, [c for c in rows.columns if c != "doc_id"]
+    block = common.ordered_blocks(rows.select("doc_id", "text"), "doc_id", 4 * common.partitions(spark), F.octet_length("text") + 64, spread="text")
+    # One row a block, whose number is bounded by the number of partitions. Rows that share an id are ordered by a hash.
+    last = F.struct("doc_id", F.xxhash64("text").alias("tie"))
+    tops = rows.select(last.alias("last"), block.alias("of_block")).groupBy("of_block").agg(F.max("last").alias("top"))
     beyond = Window.orderBy("of_block")
-    sent = tops.select("of_block", "top", F.coalesce(F.lead("of_block").over(beyond), F.min("of_block").over(Window.partitionBy())).alias("to"), F.lead("of_block").over(beyond).isNull().alias("wraps"))
-    marked = rows.withColumn("block", block).join(F.broadcast(sent), (F.col("block") == F.col("of_block")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
+    sent = tops.select("of_block", "top", F.coalesce(F.lead("of_block").over(beyond), F.min("of_block").over(Window.partitionBy())).alias("to"))
+    marked = rows.withColumn("tie", F.xxhash64("text")).withColumn("block", block).join(F.broadcast(sent), (F.col("block") == F.col("of_block")) & F.struct("doc_id", "tie").eqNullSafe(F.col("top")), "left")
     own, ghost = F.struct(F.col("block").alias("b"), F.lit(1).alias("rank")), F.struct(F.col("to").alias("b"), F.lit(0).alias("rank"))
-    placed = marked.select("doc_id", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at")).select("doc_id", "text", "at.b", "at.rank")
-    ordered = Window.partitionBy("b").orderBy("rank", "doc_id", "text")
-    return placed.repartitionByRange("b").withColumn("next_text", F.lag("text").over(ordered)).where("rank = 1").select("doc_id", "text", "next_text")
+    placed = marked.select(*rows.columns, "tie", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at")).select(*rows.columns, "tie", "at.b", "at.rank")
+    ordered = Window.partitionBy("b").orderBy("rank", "doc_id", "tie")
+    before = F.lag(F.struct(*along)).over(ordered)
+    return placed.repartitionByRange("b").withColumn("__next", before).where("rank = 1").select(*rows.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in along])
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A document's tree is built
+    once, before it goes to its neighbour; only the edited text needs another."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = rows.select("doc_id", "text", tree(F.col("text")).alias("t")).select("doc_id", "text", fingerprint(F.col("t")).alias("fingerprint"), leaf_set(F.col("t")).alias("leaves"))
     n = F.length("text")
-    pairs = with_next(docs).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))")).alias("edited"))
-    trees = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("t"), tree(F.col("edited")).alias("e"), tree(F.col("next_text")).alias("x"))
-    flat = trees.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("t")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), leaf_set(F.col("t")).alias("tl"), leaf_set(F.col("e")).alias("el"), leaf_set(F.col("x")).alias("xl"))
-    return flat.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("tl"), F.col("el")).alias("near_edited"), likeness(F.col("tl"), F.col("xl")).alias("near_next"))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
+    pairs = with_next(own).select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "leaves", "next_leaves", edited.alias("edited"))
+    trees = pairs.select("doc_id", "n_chars", "fingerprint", "leaves", "next_leaves", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("e"))
+    flat = trees.select("doc_id", "n_chars", "edited_sha256", "fingerprint", fingerprint(F.col("e")).alias("edited_fingerprint"), "leaves", "next_leaves", leaf_set(F.col("e")).alias("el"))
+    return flat.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("leaves"), F.col("el")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

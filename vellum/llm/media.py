@@ -117,12 +117,14 @@ def unfilter(lines: np.ndarray, pixel: int) -> np.ndarray:
     return out
 
 
-@functools.cache
-def _cells(n: int, size: int = 32) -> np.ndarray:
-    """A matrix that averages n samples to `size` cells of equal length."""
+def _averaged(x: np.ndarray, size: int = 32) -> np.ndarray:
+    """The rows of x averaged to `size` cells of equal length; a row that a boundary parts counts by its shares."""
+    n = len(x)
+    sums = np.zeros((n + 1, x.shape[1]))
+    np.cumsum(x, axis=0, out=sums[1:])
     edge = np.arange(size + 1) * n / size
-    lower, upper = np.maximum(edge[:-1, None], np.arange(n)), np.minimum(edge[1:, None], np.arange(n) + 1)
-    return np.maximum(upper - lower, 0) * size / n
+    row = np.minimum(edge.astype(np.int64), n - 1)
+    return np.diff(sums[row] + (edge - row)[:, None] * x[row], axis=0) * size / n
 
 
 @functools.cache
@@ -132,12 +134,7 @@ def _cosines(size: int = 32, keep: int = HASH) -> np.ndarray:
 
 def perceptual_hash(samples: np.ndarray) -> str:
     grey = samples.mean(axis=2)
-    high = len(grey)
-    if high > 4096:  # the averaging matrix would be large: sum whole rows by cell first
-        edge = np.arange(33) * high // 32
-        cells = np.add.reduceat(grey, edge[:-1], axis=0) / np.diff(edge)[:, None] @ _cells(grey.shape[1]).T
-    else:
-        cells = _cells(high) @ grey @ _cells(grey.shape[1]).T
+    cells = _averaged(_averaged(grey).T).T
     low = np.round(_cosines() @ cells @ _cosines().T, 6).ravel()
     bits = np.packbits(low > np.median(low[1:]))
     return bits.tobytes().hex()

@@ -1,10 +1,12 @@
 """Toxicity scores by weak supervision: many voters, a generative label model, a linear classifier on its labels.
 
-Voters are a lexicon of insults and patterns (words and word beginnings, each with a least density) that the labelled
-sample suggests. The label model is a two-class mixture fitted by expectation maximisation: it estimates every voter's
-rates of firing by class and the correlations of voters within a class, which discount voters that repeat each other;
-known labels enter as one more, reliable voter. A logistic regression on item densities learns the posterior labels and
-scores every whole text.
+Voters are a lexicon of insults in several languages and patterns (words and word beginnings, each with a least density).
+The label model is a two-class mixture fitted by expectation maximisation: every round estimates each voter's rates of
+firing by class and the correlations of voters within a class, which discount voters that repeat each other. A given label
+is one more voter, whose own accuracy is estimated with the others': no label overrules what the voters say together. A
+logistic regression on item densities learns the posterior labels and scores every whole text.
+
+The fit reads at most `FIT_LABELLED` labelled documents; nothing else is sampled.
 
 Cases: null and empty texts score as a text without any item; rows are independent, so repeated rows and ids and empty
 tables need nothing special; a null id counts as held out; without any labelled row of both classes the lexicon alone
@@ -25,16 +27,21 @@ from pyspark.sql import types as T
 
 from vellum.llm import common
 
-#: Labelled and unlabelled documents that a fit reads at most; voters and items it keeps at most.
-FIT_LABELLED, FIT_UNLABELLED, VOTERS, ITEMS = 3000, 1500, 60, 300
+#: Labelled documents that a fit reads at most; pattern voters, and items of the classifier.
+FIT_LABELLED, VOTERS, ITEMS = 4000, 60, 300
 THRESHOLD, BUCKETS, CACHE_ENTRIES = 0.3, 1 << 22, 300_000
-#: A known label is right so often.
-LABEL_TRUST = 0.97
+#: How often a label is taken to be right before anything is known, and how many labels that belief weighs.
+LABEL_TRUST, LABEL_WEIGHT = 0.97, 50
 #: Densities (share of a text's words) from which a pattern voter may fire; 0 stands for any occurrence.
 DENSITIES = (0.0, 0.004, 0.008, 0.015, 0.03)
 
-# English words of insult.
-LEXICON = ["clown", "disgusting", "dumb", "fool", "garbage", "hate", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "vile", "worthless"]
+# Words of insult, by language.
+LEXICON = [
+    *"bastard clown coward creep despicable disgusting dumb fool freak garbage hate hated idiot idiots idiotic imbecile jerk kill liar loser losers lunatic moron morons nasty pathetic pig pigs retard scum stupid trash ugly useless vermin vile worthless".split(),
+    *"abschaum blöd dumm dumme dummkopf ekelhaft hass hässlich idioten mistkerl müll nutzlos schwachkopf schwein versager wertlos widerlich".split(),
+    *"abruti bête crétin dégoûtant débile haine imbécile laid merde nul ordure porc pathétique salaud stupide vermine".split(),
+    *"asco asqueroso basura cerdo escoria estúpido fracasado idiota imbécil inútil odio patético repugnante tonto".split(),
+]
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,13 +52,10 @@ def items_of(word: str) -> list[int]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """(text, label) of a bounded sample of `docs` by hash of the id; the label is null for the unlabelled part."""
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    h = F.xxhash64("doc_id")
-    known = marks.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "label").orderBy(h).limit(FIT_LABELLED)
-    other = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(h).limit(FIT_UNLABELLED + FIT_LABELLED).join(known, "doc_id", "left_anti").limit(FIT_UNLABELLED)
-    chosen = known.union(other.withColumn("label", F.lit(None).cast("int")))
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most FIT_LABELLED + FIT_UNLABELLED rows
+    """(text, label) of the labelled documents, at most `FIT_LABELLED` of them, by hash of the id."""
+    marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    known = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_LABELLED)
+    return docs.join(F.broadcast(known), "doc_id").select("text", "label")  # at most FIT_LABELLED rows
 
 
 def _counts(sample: DataFrame) -> list[tuple[int | None, int, np.ndarray, np.ndarray]]:
@@ -73,34 +77,35 @@ def _counts(sample: DataFrame) -> list[tuple[int | None, int, np.ndarray, np.nda
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, rates of firing by class (voters, 2), discount of each voter and correlations within classes.
+    """Posterior of each row, rates of firing by class (voters, 2), correlations within classes, and how often a label is 1 by class.
 
-    votes: (rows, voters) of 0 and 1; known: 1, 0 or -1 by row.
+    votes: (rows, voters) of 0 and 1; known: 1, 0 or -1 by row, the label voter's word (-1: it says nothing).
     """
-    v = votes.astype(np.float64)
-    p = np.where(known >= 0, known, np.clip(v.mean(axis=1) * 2, 0.01, 0.9)).astype(np.float64)
+    v, says = votes.astype(np.float64), known >= 0
+    p = np.where(says, known, np.clip(v.mean(axis=1) * 2, 0.01, 0.9)).astype(np.float64)
     weight, correlation = np.ones(v.shape[1]), np.zeros((v.shape[1],) * 2)
-    rates = np.zeros((v.shape[1], 2))
+    rates, trust, believed = np.zeros((v.shape[1], 2)), np.zeros(2), (1 - LABEL_TRUST, LABEL_TRUST)
     for step in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 0.5)
+        spread = np.zeros_like(correlation)
         for c, q in enumerate((1 - p, p)):
             rates[:, c] = (q @ v + (0.1, 0.5)[c]) / (q.sum() + 1)
-        if step == rounds // 2:  # correlations, once the classes have settled
-            spread = np.zeros_like(correlation)
-            for c, q in enumerate((1 - p, p)):
-                d = (v - rates[:, c]) * np.sqrt(q)[:, None]
-                spread += d.T @ d
+            trust[c] = (q[known == 1].sum() + LABEL_WEIGHT * believed[c]) / (q[says].sum() + LABEL_WEIGHT)
+            d = (v - rates[:, c]) * np.sqrt(q)[:, None]
+            spread += d.T @ d
+        if step >= rounds // 4:  # once the classes have begun to settle
             scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
             correlation = spread / scale[:, None] / scale
             weight = 1 / (1 + np.clip(correlation - np.eye(len(scale)) - 0.1, 0, None).sum(axis=1))
         # A voter that doesn't fire abstains: texts hold few of the items, and those of one language at most.
         z = np.log(prior / (1 - prior)) + v @ (np.log(rates[:, 1] / rates[:, 0]) * weight)
-        p = np.where(known == 1, LABEL_TRUST, np.where(known == 0, 1 - LABEL_TRUST, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-    return p, rates, weight, correlation
+        z += np.where(known == 1, np.log(trust[1] / trust[0]), np.where(known == 0, np.log((1 - trust[1]) / (1 - trust[0])), 0.0))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return p, rates, correlation, trust
 
 
 def _voters(known: np.ndarray, density: dict[int, np.ndarray]) -> list[tuple[int, float]]:
-    """(item, least density) of the patterns that separate the known labels best, and of the lexicon."""
+    """(item, least density) of the lexicon, and of the patterns that most often come with a label and seldom without."""
     found = []
     for item, x in density.items():
         for least in DENSITIES:
