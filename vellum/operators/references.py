@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,23 +47,34 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: `spark.checkpoint.dir`. A session of one machine, as in tests, gets a temporary
+    one where it is unset; on a cluster the setting is asked for."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again; the files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vellum/{spark.sparkContext.applicationId}/frontier-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already; the folder belongs to this application only
+        pass
+
+
 def orphans(nodes: DataFrame, reached: DataFrame) -> DataFrame:
     return nodes.join(reached, "node", "left_anti")
 
