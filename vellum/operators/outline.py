@@ -141,3 +141,21 @@ def foreign(manifests: DataFrame, mine: Column) -> DataFrame:
 def withdrawn(declared: Column, found: Column) -> Column:
     """Properties of a manifest item that its document doesn't bear out."""
     return F.array_sort(F.array_except(declared, found))
+
+
+def reading_text(spine: DataFrame, texts: DataFrame) -> DataFrame:
+    """(book, text, documents): a book's text in its order of reading, without what is out of it; a book is one value here, as
+    the gate that compares texts needs it. spine: (book, ord, path, linear), texts: (book, path, text)."""
+    read = spine.where("linear").join(texts, ["book", "path"]).groupBy("book")
+    parts = F.array_sort(F.collect_list(F.struct("ord", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))))
+    return read.agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.count("*").alias("documents"))
+
+
+def renamed(files: DataFrame, pointers: dict[str, DataFrame], moved: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(files, pointers) after files moved (book, path, new_path): every relation that names a file by (book, path) names it by
+    its new path."""
+
+    def follow(rows: DataFrame) -> DataFrame:
+        return rows.join(moved, ["book", "path"], "left").withColumn("path", F.coalesce("new_path", "path")).drop("new_path").select(*rows.columns)
+
+    return follow(files), {name: follow(rows) for name, rows in pointers.items()}

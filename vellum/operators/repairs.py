@@ -140,3 +140,14 @@ def notices_taken_out(docs: DataFrame) -> DataFrame:
 def hyphen_counts(docs: DataFrame) -> DataFrame:
     """(confidence, n) of a library's hyphen candidates."""
     return library.hyphen_candidates(docs).groupBy("confidence").agg(F.count("*").alias("n"))
+
+
+def halves_known(candidates: DataFrame, words: DataFrame) -> DataFrame:
+    """`candidates` (language, lhs, rhs, …) with `broken`: true where the left half is no word and the joined one is, by the list
+    (language, word) of that language; null where there is no list, which says nothing."""
+    listed = words.select("language").distinct().withColumn("__list", F.lit(True))
+    has = lambda name: words.select("language", F.col("word").alias(name), F.lit(True).alias(f"__{name}")).distinct()
+    asked = candidates.withColumn("left", F.lower("lhs")).withColumn("joined", F.lower(F.concat("lhs", "rhs")))
+    met = asked.join(has("left"), ["language", "left"], "left").join(has("joined"), ["language", "joined"], "left").join(listed, "language", "left")
+    broken = F.when(F.col("__list"), F.col("__left").isNull() & F.col("__joined").isNotNull())
+    return met.withColumn("broken", broken).drop("__left", "__joined", "__list", "left", "joined")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import sql as functions_sql
-from vellum.functions import values
-from vellum.operators import evidence, library, outline
+from vellum.functions import unicode, values
+from vellum.operators import evidence, library, outline, repairs
 from vellum.plans import registry
 from vellum.sources import archives, reader, tables
 from vellum.stages import content, resources, style
@@ -116,6 +116,20 @@ _q("fidelity_checks", lambda s, d: (lambda e: evidence.checks(shapes=evidence.sh
    """WITH g AS (SELECT user_id AS book, event_type AS tag, count(*) AS was, count(*) FILTER (event_id % 16 > 0) AS now, count(*) FILTER (event_id % 4 = 0) AS kept FROM events GROUP BY 1, 2)
 SELECT book, 'shapes' AS "check", count(*) AS failures FROM g WHERE now < was * 0.95::DOUBLE GROUP BY 1 UNION ALL SELECT book, 'media', count(*) FROM g WHERE kept = 0 GROUP BY 1""")
 
+_q("words_folded", lambda s, d: _t(s, d, "documents").select("doc_id", F.sha2(unicode.folded("text"), 256).alias("digest")), "SELECT doc_id, sha256(strip_accents(lower(text))) AS digest FROM documents")
+_q("texts_composed", lambda s, d: _t(s, d, "documents").select("doc_id", F.sha2(unicode.composed(F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ö"), F.lit("o\u0308"))), 256).alias("digest")), "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents")
+_q("halves_known", lambda s, d: repairs.halves_known(_t(s, d, "part").select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN 'pl' WHEN 1 THEN 'en' ELSE 'xx' END").alias("language"), F.concat(F.lit("W"), F.col("p_partkey") % 7).alias("lhs"), F.concat(F.lit("z"), F.col("p_partkey") % 5).alias("rhs")), _t(s, d, "part").where("p_partkey < 30").select(F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'pl' ELSE 'en' END").alias("language"), F.expr("CASE WHEN p_partkey < 5 THEN 'w' || p_partkey ELSE 'w' || (p_partkey % 7) || 'z' || (p_partkey % 5) END").alias("word"))).select("p_partkey", "broken"),
+   """WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'pl' ELSE 'en' END AS language, CASE WHEN p_partkey < 5 THEN 'w' || p_partkey ELSE 'w' || (p_partkey % 7) || 'z' || (p_partkey % 5) END AS word FROM part WHERE p_partkey < 30),
+c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'pl' WHEN 1 THEN 'en' ELSE 'xx' END AS language, 'w' || p_partkey % 7 AS a, 'w' || p_partkey % 7 || 'z' || p_partkey % 5 AS j FROM part)
+SELECT p_partkey, CASE WHEN language <> 'xx' THEN NOT EXISTS (SELECT 1 FROM l WHERE l.language = c.language AND word = a) AND EXISTS (SELECT 1 FROM l WHERE l.language = c.language AND word = j) END AS broken FROM c""")
+_lines = lambda s, d: _t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("ord")).agg(F.min("l_partkey").alias("p")).withColumn("path", F.concat(F.lit("f"), "ord"))
+_q("reading_texts", lambda s, d: outline.reading_text(_lines(s, d).select("book", "ord", "path", (F.col("p") % 4 > 0).alias("linear")), _lines(s, d).select("book", "path", F.concat(F.lit("  part\n"), "p", F.lit(" ")).alias("text"))),
+   "WITH l AS (SELECT l_orderkey AS book, l_linenumber AS ord, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) SELECT book, string_agg('part ' || p, ' ' ORDER BY ord) AS text, count(*) AS documents FROM l WHERE p % 4 > 0 GROUP BY 1")
+_q("pointers_renamed", lambda s, d: outline.renamed(_lines(s, d).select("book", "path", "p"), {"spine": _lines(s, d).select("book", "ord", "path")}, _lines(s, d).where("p % 3 = 0").select("book", "path", F.concat(F.lit("OPS/"), "path").alias("new_path")))[1]["spine"],
+   "WITH l AS (SELECT l_orderkey AS book, l_linenumber AS ord, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) SELECT book, ord, CASE WHEN p % 3 = 0 THEN 'OPS/' ELSE '' END || 'f' || ord AS path FROM l")
+_q("traces_ordered", lambda s, d: registry._traces(s, d).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "tool"))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "tool"))), lambda t: t["tool"]), ", ").alias("tools")),
+   f"WITH t AS ({registry.oracle_sql()['generator_traces']}) SELECT doc_id, string_agg(tool, ', ' ORDER BY confidence DESC, tool) AS tools FROM t GROUP BY 1")
+
 # --- tables, functions, streams ----------------------------------------------------------------------------------------
 
 _q("json_leaves", lambda s, d: tables.leaves(_t(s, d, "orders").select("o_orderkey", F.expr("""'{"a":{"b":' || o_custkey || ',"c":{"d":"x"}},"e":[1,2]}'""").alias("j")), "j"),
