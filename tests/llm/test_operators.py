@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from vellum.llm import byte_bpe, components, fingerprints, jaccard, language, licences, media, mixing, substrings, token_files, toxicity
+from vellum.llm import byte_bpe, common, components, fingerprints, jaccard, language, licences, media, mixing, substrings, token_files, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -293,11 +293,108 @@ def test_toxicity(spark, make):
     assert toxicity.Scorer(none).score(["an idiot", "a plant"])[0] > 0.3
 
 
+def _written(docs):
+    path = common.shared_path(docs.sparkSession, "tokens")
+    token_files.write_tokens(docs, path, P.path("word_bpe_49k.json"), 2, blocks=3)
+    return token_files.read_tokens(docs.sparkSession, path)
+
+
 @pytest.mark.parametrize("run", [
     lambda d: substrings.remove_repeats(d), lambda d: jaccard.similar_classes(d, 4, 85), lambda d: fingerprints.compare_with_next(d), lambda d: media.features(media.store(d)),
     lambda d: mixing.plan(d), lambda d: licences.scan(d, licences.known_licences(d.sparkSession)), lambda d: language.identify(d, language.fit(d)),
-    lambda d: byte_bpe.round_trip(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+    lambda d: byte_bpe.round_trip(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), lambda d: toxicity.score(d, toxicity.fit(d, d.selectExpr("doc_id", "1 AS toxic"))),
+    lambda d: token_files.checksums(_written(d)),
 ])
 @pytest.mark.parametrize("rows", [0, 3])
 def test_empty_tables_and_null_ids(make, run, rows):
     assert run(make(["a b", None, "a b"][:rows], [None, None, 4][:rows])).count() == (rows if rows == 0 else run(make(["a b", None, "a b"], [None, None, 4])).count())
+
+
+def test_blocks_of_ids_with_outliers_and_nulls(spark):
+    """A few ids far from all others don't put the rest into one block; nulls are dealt by their text."""
+    from pyspark.sql import functions as F
+
+    ids = [*range(4000), 1 << 60, -(1 << 50)] + [None] * 2000
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = docs.withColumn("b", common.ordered_blocks(docs, "doc_id", 24, spread="text")).collect()
+    known = sorted((r.doc_id, r.b) for r in rows if r.doc_id is not None)
+    assert [b for _, b in known] == sorted(b for _, b in known) and min(b for _, b in known) >= 0
+    sizes = [sum(r.b == b for r in rows) for b in {r.b for r in rows}]
+    assert len(sizes) > 18 and max(sizes) < 500 and len({r.b for r in rows if r.doc_id is None}) > 4
+    assert {r.b for r in docs.where("doc_id IS NULL").withColumn("b", common.ordered_blocks(docs.where("doc_id IS NULL"), "doc_id", 1)).collect()} == {-1}
+    assert docs.limit(0).withColumn("b", common.ordered_blocks(docs.limit(0), "doc_id", 5, spread="text")).count() == 0
+    assert F is not None
+
+
+def test_nulls_take_and_lose_nothing(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text), (None, text), (5, text), (6, text), (6, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(docs).collect())
+    assert got == [(0, 0), (0, 0), (5, 0), (6, 40), (6, 40)]
+
+
+def test_label_model_finds_accuracies():
+    """Voters fire far more in the class that they tell, in the order in which they do; doubtful labels are doubted; copies show."""
+    rng = np.random.default_rng(11)
+    truth = rng.random(4000) < 0.2
+    rates = [(0.02, 0.6), (0.01, 0.5), (0.05, 0.4), (0.01, 0.3)]
+    votes = np.stack([rng.random(4000) < np.where(truth, a, b) for b, a in rates], axis=1)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)
+    wrong = rng.random(4000) < 0.1
+    known = np.where(rng.random(4000) < 0.7, truth ^ wrong, -1).astype(int)
+    p, found, correlation, trust = toxicity.label_model(votes, known)
+    assert (found[:, 1] > 10 * found[:, 0]).all() and found[0, 1] > found[3, 1] and correlation[0, 4] > 0.9 and abs(correlation[0, 1]) < 0.3
+    assert ((p > 0.5) == truth).mean() > 0.85 and trust[1] < 0.95
+
+
+def test_mixing_shares(spark):
+    """Each block holds each source in its share; a target entropy gives the exponent that reaches it."""
+    sizes = {"a": 6400, "b": 1600, "c": 400}
+    docs = spark.createDataFrame([(i, s, "w " * 10) for s, n in sizes.items() for i in range(n // 10)], "doc_id long, source string, text string")
+    rows = mixing.plan(docs, repetition_limit=2.0, block_tokens=1000).collect()
+    times = {s: (6400 / n) ** (np.log(2) / np.log(16)) for s, n in sizes.items()}
+    total = sum(times[s] * n for s, n in sizes.items())
+    for b in {r.block for r in rows}:
+        inside = [r for r in rows if r.block == b]
+        for s, n in sizes.items():
+            assert abs(sum(r.source == s for r in inside) / len(inside) - times[s] * n / total) < 0.05
+    by_source = spark.createDataFrame([(n,) for n in sizes.values()], "tokens long")
+    for target in (0.7, 1.0):
+        a = mixing.entropy_exponent(by_source, target)
+        w = np.array([n**a for n in sizes.values()])
+        w /= w.sum()
+        assert abs(-(w * np.log(w)).sum() - target) < 1e-6
+
+
+def test_unfamiliar_scripts_are_not_believed(spark, make):
+    fit = [(i, "the of and that with from this have been which", "en") for i in range(10)] + [(i + 10, "der die und das mit von dieser haben sein", "de") for i in range(10)]
+    model = language.fit(spark.createDataFrame(fit, "doc_id long, text string, lang string"))
+    rows = {r.doc_id: r.score for r in language.identify(make(["что как это было", "漢字仮名", "with this and that from which"]), model).collect()}
+    assert rows[0] == rows[1] == 0 and rows[2] > 0.9
+
+
+def test_row_groups_are_skipped(spark, make, tmp_path):
+    """A look-up by id reads a fraction of the rows: statistics and Bloom filters pass the others over."""
+    path = f"file://{tmp_path}/many"
+    token_files.write_tokens(make([f"text {i}" for i in range(6000)]).select("doc_id", "text").coalesce(1), path, P.path("word_bpe_49k.json"), 2, blocks=1)
+    found = token_files.lookup_tokens(spark, path, [10])
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    scans = [m for m in _metrics(found._jdf.queryExecution().executedPlan(), "numOutputRows")]
+    assert plan is not None and min(scans) < 6000
+
+
+def _metrics(plan, name):
+    out, open_ = [], [plan]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+            continue
+        held = node.metrics().get(name)
+        if held.isDefined() and node.children().isEmpty():
+            out.append(held.get().value())
+        for i in range(node.children().size()):
+            open_.append(node.children().apply(i))
+    return out

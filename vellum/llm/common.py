@@ -23,9 +23,12 @@ HEAVY = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`. A session of one machine, as in tests, may do without: it gets
+    a temporary one; on a cluster that would be a folder of the driver alone, so the setting is asked for."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

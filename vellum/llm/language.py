@@ -6,6 +6,9 @@ documents; the counts are summed on the executors and only the most frequent n-g
 A piece's score in a language is its mean log-probability times a weight; scripts in which a language is hardly ever
 written rule it out. The best path through the pieces pays `SWITCH` for every change of language.
 
+The score says how sure the language is against the others, and falls to 0 where hardly an n-gram of the text is one that
+the learnt languages have: a text in a script or language that none was learnt of is labelled, but not believed.
+
 Cases: a null text or one without letters is `und` with score 0 and no spans; rows are independent, so repeated rows and
 ids, null ids and empty tables need nothing special; without any labelled row all is `und`; carried columns that are
 named like an output give way to it.
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm import common
+from vellum.llm import common, packed
 
 #: Documents a fit reads at most, and n-grams it keeps for a language.
 FIT_DOCUMENTS, FIT_GRAMS = 2000, 20_000
 SWITCH, CACHE_ENTRIES, SLICE_WORDS = 6.0, 150_000, 60_000
 #: Letters of a piece at most; pieces of a longer run have at least half as many.
 PIECE = 40
+#: The share of a text's n-grams that the learnt languages know from which it counts as in one of them for certain.
+FAMILIAR = 0.5
 #: Share of a language's training letters that a script must have to admit it.
 SCRIPT_SHARE = 0.005
 
@@ -44,6 +49,10 @@ SCRIPTS = {
 }
 
 
+#: The first code point above those of the Latin script's first blocks.
+BEYOND_LATIN = chr(SCRIPTS["latin"][0][1] + 1)
+
+
 @functools.cache
 def script_of(letter: str) -> str:
     code = ord(letter)
@@ -58,7 +67,7 @@ def letters_of(word: str) -> str:
 def pieces(word: str) -> list[str]:
     """The word's letters, parted where the script changes and into even pieces of at most `PIECE` letters."""
     letters = letters_of(word)
-    if letters.isascii() and len(letters) <= PIECE:
+    if len(letters) <= PIECE and (letters.isascii() or max(letters) < BEYOND_LATIN):
         return [letters] if letters else []
     out = []
     for _, run in itertools.groupby(letters, script_of):
@@ -121,11 +130,22 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     }
 
 
+def gram_keys(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, piece) of all n-grams of some pieces, each between its edges: the code points of an n-gram as one integer."""
+    code = np.frombuffer("".join(f"\x02{x}\x03" for x in letters).encode("utf-32-le"), "<u4").astype(np.int64)
+    piece = np.repeat(np.arange(len(letters)), np.fromiter(map(len, letters), np.int64, len(letters)) + 2)
+    inner = code != 3  # no n-gram goes on beyond an edge
+    two = np.flatnonzero(inner[:-1])
+    three = two[inner[np.minimum(two + 1, len(code) - 1)]]
+    return np.concatenate([code, code[two] << 21 | code[two + 1], code[three] << 42 | code[three + 1] << 21 | code[three + 2]]), np.concatenate([piece, piece[two], piece[three]])
+
+
 class Labeller:
     def __init__(self, model: dict):
         self.model, self.width = model, len(model["langs"])
-        self.gram = {g: i for i, g in enumerate(model["grams"], 1)}
-        self.gram_scores = np.array([model["floor"], *model["grams"].values()], np.float32).reshape(len(self.gram) + 1, self.width)
+        whole = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+        self.table = packed.Lookup(np.fromiter(map(whole, model["grams"]), np.int64, len(model["grams"])))
+        self.gram_scores = np.array([*model["grams"].values(), model["floor"]], np.float64).reshape(len(model["grams"]) + 1, self.width)
         self.scripts = list(model["scripts"])
         self.admitted = np.array([*model["scripts"].values(), np.ones(self.width, bool)], bool).reshape(len(self.scripts) + 1, self.width)
         self.clear()
@@ -133,30 +153,33 @@ class Labeller:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a word's pieces in `scores`
-        self.scores, self.letters = np.zeros((1024, self.width), np.float32), np.zeros(1024, np.int32)
+        self.scores, self.letters, self.known = np.zeros((1024, self.width), np.float32), np.zeros(1024, np.int32), np.zeros(1024, np.float32)
 
     def _learn(self, words: list[str]) -> None:
         """Scores of the pieces of words not seen before: mean log-probability times a weight, relative to the best language."""
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         parts = [pieces(w) or [""] for w in words]  # a word without letters is an empty piece
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        start, get = int(self.count.sum()), self.gram.get
+        start = int(self.count.sum())
         self.first, self.count = np.concatenate([self.first, start + np.cumsum(counts) - counts]), np.concatenate([self.count, counts])
         letters = [x for p in parts for x in p]
         while len(self.scores) < start + len(letters):
-            self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.scores, self.letters, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.letters, self.known))
         full = [i for i, x in enumerate(letters) if x]
         for a in range(0, len(full), 20_000):
             part = full[a : a + 20_000]
-            ids = [[get(g, 0) for g in grams(letters[i])] for i in part]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            sums = np.add.reduceat(self.gram_scores[np.fromiter((x for row in ids for x in row), np.int64, sizes.sum())], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-            n = np.array([len(letters[i]) for i in part])
+            held = [letters[i] for i in part]
+            keys, piece = gram_keys(held)
+            ids = self.table.find(keys)  # the floor's row, the last, for an n-gram that the model doesn't have
+            sizes = np.bincount(piece, minlength=len(part))
+            sums = np.stack([np.bincount(piece, weights=self.gram_scores[ids, k], minlength=len(part)) for k in range(self.width)], axis=1)
+            n = np.fromiter(map(len, held), np.int64, len(held))
             score = sums / sizes[:, None] * np.minimum(n + 1, 8)[:, None]
-            script = np.array([self.scripts.index(x) if (x := script_of(letters[i][0])) in self.model["scripts"] else -1 for i in part])
+            script = np.array([self.scripts.index(x) if (x := script_of(h[0])) in self.model["scripts"] else -1 for h in held])
             score = np.where(script[:, None] < 0, 0, score - score.max(axis=1, keepdims=True))
             at = start + np.array(part)
             self.scores[at], self.letters[at] = np.where(self.admitted[script], score, np.float32(-30)), n
+            self.known[at] = np.maximum(0, np.bincount(piece, weights=ids >= 0, minlength=len(part)) - 2) / np.maximum(1, sizes - 2)  # but for the edges
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         """Language, score and spans (of word positions) of each text."""
@@ -171,14 +194,14 @@ class Labeller:
         index = self.index
         n_words = np.array([len(words[i]) for i in rows])
         starts = np.concatenate([[0], np.cumsum(n_words)])
-        ids = np.fromiter((index[w] for i in rows for w in words[i]), np.int64, starts[-1])
+        ids = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(words[i] for i in rows)), np.int64, starts[-1])
         counts = self.count[ids]
         ends = np.concatenate([[0], np.cumsum(counts)])
         place = np.repeat(np.arange(starts[-1]) - np.repeat(starts[:-1], n_words), counts)  # a piece's word within its text
         ids = np.repeat(self.first[ids] - ends[:-1], counts) + np.arange(ends[-1])
         at = ends[starts]
         sizes = np.diff(at)
-        scores, letters = self.scores[ids], self.letters[ids]
+        scores, letters, known = self.scores[ids], self.letters[ids], self.known[ids]
         whole = np.add.reduceat(scores, at[:-1], axis=0)
         first = whole.argmax(axis=1)
         mixed = self._may_switch(scores, at, sizes, first)
@@ -191,7 +214,7 @@ class Labeller:
             start += len(part)
         for j, i in enumerate(rows):
             a, b = at[j], at[j + 1]
-            out[i] = self._sum_up(paths.get(j), int(first[j]), scores[a:b], letters[a:b], whole[j], place[a:b])
+            out[i] = self._sum_up(paths.get(j), int(first[j]), letters[a:b], known[a:b], whole[j], place[a:b])
         return out
 
     def _may_switch(self, scores: np.ndarray, at: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -246,7 +269,7 @@ class Labeller:
                 at[:k] = np.where(jump[t, every[:k], at[:k]], best[t, :k], at[:k])
         return [paths[: sizes[i], i] for i in range(n)]
 
-    def _sum_up(self, path: np.ndarray | None, first: int, scores: np.ndarray, letters: np.ndarray, whole: np.ndarray, place: np.ndarray) -> tuple[str, float, list[dict]]:
+    def _sum_up(self, path: np.ndarray | None, first: int, letters: np.ndarray, known: np.ndarray, whole: np.ndarray, place: np.ndarray) -> tuple[str, float, list[dict]]:
         total = int(letters.sum())
         if not total:
             return "und", 0.0, []
@@ -259,7 +282,9 @@ class Labeller:
             spans = [{"first": int(place[a]), "last": int(place[b - 1]), "lang": langs[path[a]]} for a, b in zip([0, *edge], [*edge, len(path)], strict=True)]
         rival = max([x for i, x in enumerate(whole.tolist()) if i != first], default=-math.inf)
         sure = 1 / (1 + math.exp(min(50.0, max(-50.0, rival - float(whole[first])))))
-        return langs[first], min(1.0, share * sure), spans
+        # A text whose n-grams no learnt language has is in none of them, however it compares.
+        familiar = min(1.0, float(known @ letters) / total / FAMILIAR)
+        return langs[first], min(1.0, share * sure * familiar), spans
 
 
 OUTPUT = T.StructType([

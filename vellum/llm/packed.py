@@ -44,6 +44,41 @@ def part_of(x: np.ndarray, parts: int) -> np.ndarray:
     return (((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+class Lookup:
+    """Places of distinct integers that aren't negative, by open addressing with linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.places = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        places, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            first = np.zeros(len(keys), bool)
+            first[np.unique(at, return_index=True)[1]] = True  # one key may take a slot in a round
+            put = free & first
+            self.keys[at[put]], self.places[at[put]] = keys[put], places[put]
+            keys, places, at = keys[~put], places[~put], (at[~put] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) ^ (keys.astype(np.uint64) >> np.uint64(29))) * GOLDEN
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 for others."""
+        at = self._slot(keys)
+        out = np.where(self.keys[at] == keys, self.places[at], -1)
+        todo = np.flatnonzero((out < 0) & (self.keys[at] != -1))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.keys) - 1)
+            there = self.keys[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.places[at[hit]]
+            on = ~hit & (there != -1)
+            todo, at = todo[on], at[on]
+        return out
+
+
 class Words:
     """The words of some texts in order: `first` and `last` byte in `raw`, `hashes`, the text `doc` of each; `at` where each text begins."""
 

@@ -81,12 +81,16 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple
 
     votes: (rows, voters) of 0 and 1; known: 1, 0 or -1 by row, the label voter's word (-1: it says nothing).
     """
-    v, says = votes.astype(np.float64), known >= 0
-    p = np.where(says, known, np.clip(v.mean(axis=1) * 2, 0.01, 0.9)).astype(np.float64)
+    # Texts hold few of the items, and those of one language at most: a voter that doesn't fire abstains, and that none does is
+    # one more voter's word.
+    v, says = np.concatenate([votes, ~votes.any(axis=1, keepdims=True)], axis=1).astype(np.float64), known >= 0
+    p = np.where(says, known, np.clip(votes.mean(axis=1) * 2, 0.01, 0.9)).astype(np.float64)
     weight, correlation = np.ones(v.shape[1]), np.zeros((v.shape[1],) * 2)
-    rates, trust, believed = np.zeros((v.shape[1], 2)), np.zeros(2), (1 - LABEL_TRUST, LABEL_TRUST)
+    believed = (1 - LABEL_TRUST, LABEL_TRUST)
+    rates, trust = np.zeros((v.shape[1], 2)), np.array(believed)
     for step in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 0.5)
+        # The share of the class, as the labels tell it by their accuracy.
+        prior = np.clip((known[says].mean() - trust[0]) / (trust[1] - trust[0]) if says.any() else p.mean(), 1e-3, 0.5)
         spread = np.zeros_like(correlation)
         for c, q in enumerate((1 - p, p)):
             rates[:, c] = (q @ v + (0.1, 0.5)[c]) / (q.sum() + 1)
@@ -97,11 +101,10 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple
             scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
             correlation = spread / scale[:, None] / scale
             weight = 1 / (1 + np.clip(correlation - np.eye(len(scale)) - 0.1, 0, None).sum(axis=1))
-        # A voter that doesn't fire abstains: texts hold few of the items, and those of one language at most.
         z = np.log(prior / (1 - prior)) + v @ (np.log(rates[:, 1] / rates[:, 0]) * weight)
         z += np.where(known == 1, np.log(trust[1] / trust[0]), np.where(known == 0, np.log((1 - trust[1]) / (1 - trust[0])), 0.0))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return p, rates, correlation, trust
+    return p, rates[:-1], correlation[:-1, :-1], trust
 
 
 def _voters(known: np.ndarray, density: dict[int, np.ndarray]) -> list[tuple[int, float]]:
