@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from vellum.llm import common
 
 #: Entries a worker keeps of its cache of encoded words (two generations), and the longest word that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 220_000, 48
 #: Rows of an ORC row group, bytes of a stripe, false positives of the Bloom filter.
 ROW_GROUP, STRIPE_BYTES, BLOOM_FPP = 1000, 16 << 20, 0.01
 
@@ -37,9 +37,10 @@ FILE_SCHEMA = T.StructType([
 #: Letters, digits and marks of Latin-1 as the vocabulary's own pattern parts them (fixed: it is the file's).
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w²³¹¼½¾]|_)+")
 #: Characters that Python's classes and the vocabulary's see differently.
-ODD = re.compile("[\x1c-\x1f]|[^\x00-\xff]|<\\|")
-#: Marks that often end a word; each is a piece of its own.
-MARKS = frozenset(".,;:!?")
+ODD = "\x1c\x1d\x1e\x1f"
+#: Marks that often end a word: pieces of their own unless they stand beside another mark.
+MARKS = ".,;:!?"
+BESIDE = re.compile(r"[.,;:!?](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,;:!?]")
 #: Pieces that one call of the library encodes together, and such calls at a time.
 RUN, RUNS = 500, 16
 
@@ -84,12 +85,9 @@ class WordCachedEncoder:
         """Ids of words that the cache doesn't hold, and of their pieces. The first are of Latin-1 and lower case."""
         cache = self.cache
         whole = [w for w in words if w.isalpha()]  # their own only piece
-        ended = [w for w in words if w[-1] in MARKS and w[:-1].isalpha()]
-        parts = {w: PIECES.findall(w) for w in set(words).difference(whole, ended)}
-        fresh = {w[:-1] for w in ended}.union(*parts.values(), (w[-1] for w in ended)).difference(whole)
+        parts = {w: PIECES.findall(w) for w in set(words).difference(whole)}
+        fresh = set().union(*parts.values()).difference(whole)
         made = self._encode_pieces([*whole, *sorted(p for p in fresh if p not in cache)])
-        for w in ended:
-            made[w] = (made.get(w[:-1]) or cache[w[:-1]]) + (made.get(w[-1]) or cache[w[-1]])
         for w, ps in parts.items():
             made[w] = b"".join([made[p] if p in made else cache[p] for p in ps])
         for a in range(0, len(odd), RUN):
@@ -101,9 +99,9 @@ class WordCachedEncoder:
         if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {"": b""}
         cache, passing = self.cache, {}
-        odd = [bool(t and ODD.search(t)) for t in texts]
+        odd = [bool(t) and _is_odd(t) for t in texts]
         # The vocabulary ignores case; lowering is left to the library where Python's might differ or make a special token.
-        rows = [(t if o else t.lower()).replace("\n", " ").split(" ") if t else [] for t, o in zip(texts, odd, strict=True)]
+        rows = [(t if o else _parted(t.lower())).replace("\n", " ").split(" ") if t else [] for t, o in zip(texts, odd, strict=True)]
         plain = common.unseen([r for r, o in zip(rows, odd, strict=True) if not o], cache, self.older)
         other = set(common.unseen([r for r, o in zip(rows, odd, strict=True) if o], cache, self.older)).difference(plain)
         for w, ids in self._learn(plain, list(other)).items():
@@ -113,6 +111,25 @@ class WordCachedEncoder:
         return [b"".join(map(cache.__getitem__, words)) for words in rows]
 
 
+def _is_odd(text: str) -> bool:
+    """Whether a text isn't of Latin-1, may hold a special token, or has characters that are read differently."""
+    if "<|" in text or any(c in text for c in ODD):
+        return True
+    try:
+        return not text.isascii() and not text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+
+
+def _parted(text: str) -> str:
+    """A text of Latin-1 with spaces around the marks that end words, so that words come without them; one in which such a mark
+    stands beside another stays as it is."""
+    if not BESIDE.search(text):
+        for mark in MARKS:
+            text = text.replace(mark, f" {mark} ")
+    return text
+
+
 def encoder_of(path: str) -> WordCachedEncoder:
     """One a Python worker: what a task has learnt serves the next."""
     return common.held(("tokens", path), lambda: WordCachedEncoder(path))
