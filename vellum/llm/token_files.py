@@ -4,7 +4,7 @@ ORC stores the ids as a list of integers in run-length encoding; every stripe ca
 document id per row group and a Bloom filter on it, so a reader prunes stripes and row groups from metadata alone
 and reads stripes in parallel.
 
-Cases: a null or empty text is the end id alone; null doc_ids sort first (in blocks below 0, by the hash of the text) and keep their rows; repeated ids
+Cases: a null or empty text is the end id alone; null doc_ids are numbered first (in blocks below 0, by the hash of the text) and keep their rows; repeated ids
 are all kept, ordered by text; an empty table gives empty files and an empty result; other columns are ignored.
 """
 
@@ -164,9 +164,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, block
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=FILE_SCHEMA.names)
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
-    placed = rows.withColumn("block", common.ordered_blocks(rows, "doc_id", blocks, size, spread="text")).select("block", "doc_id", "text")
-    ordered = placed.repartitionByRange(common.partitions(spark), "block").sortWithinPartitions("block", "doc_id", "text")
+    placed = rows.withColumn("block", common.ordered_blocks(rows, "doc_id", blocks, spread="text")).select("block", "doc_id", "text")
+    # Blocks are even already, so neighbouring ones go to a file by their number: no sample has to be read to part them.
+    files = min(blocks, common.partitions(spark))
+    file = F.when(F.col("block") < 0, F.pmod(F.col("block"), F.lit(files))).otherwise(F.floor(F.col("block") * F.lit(files) / blocks)).cast("int")
+    ordered = placed.repartitionById(files, file).sortWithinPartitions("block", "doc_id", "text")
     encoded = ordered.mapInArrow(encode, FILE_SCHEMA)
     (encoded.write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_GROUP)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP).option("orc.create.index", True).orc(path))
