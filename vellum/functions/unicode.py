@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("string")
-def composed(texts: pd.Series) -> pd.Series:
-    """Texts in their composed form; most are already, which costs a look."""
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+def _batched(rule: Callable[[str], str], column: Column | str) -> Column:
+    """The rule for each text of a batch; a null stays one. Made when it is used: a session must be there by then."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else rule(t))
+
+    each.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return pandas_udf(each, T.StringType())(column)
+
 
+def compose(text: str) -> str:
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
-@pandas_udf("string")
-def folded(words: pd.Series) -> pd.Series:
-    """Words in lower case without the marks on their letters; letters that are no letter with a mark, such as `ł`, stay."""
 
-    def one(word: str | None) -> str | None:
-        if word is None or word.isascii():
-            return word and word.lower()
-        return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+def fold(word: str) -> str:
+    """Lower case without the marks on letters; letters that are no letter with a mark, such as `ł`, stay."""
+    if word.isascii():
+        return word.lower()
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+
+
+def composed(column: Column | str) -> Column:
+    """Texts in their composed form; most are already, which costs a look."""
+    return _batched(compose, column)
+
 
-    return words.map(one)
+def folded(column: Column | str) -> Column:
+    return _batched(fold, column)
