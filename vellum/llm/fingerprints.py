@@ -90,7 +90,8 @@ def with_next(rows: DataFrame) -> DataFrame:
     placed = marked.select(*rows.columns, "tie", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at")).select(*rows.columns, "tie", "at.b", "at.rank")
     ordered = Window.partitionBy("b").orderBy("rank", "doc_id", "tie")
     before = F.lag(F.struct(*along)).over(ordered)
-    return placed.repartitionByRange("b").withColumn("__next", before).where("rank = 1").select(*rows.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in along])
+    # The window's own exchange deals blocks out: one by ranges would read everything before it for a sample.
+    return placed.withColumn("__next", before).where("rank = 1").select(*rows.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in along])
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
