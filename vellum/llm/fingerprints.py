@@ -56,6 +56,12 @@ def leaf_set(t: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(t["sections"], lambda s: s["paragraphs"])), lambda p: p["leaves"])))
 
 
+def printed_leaves(printed: Column) -> Column:
+    """The leaf set as a fingerprint has it: what follows a colon, eight digits a leaf."""
+    runs = F.array_join(F.regexp_extract_all(printed, F.lit(":([0-9a-f]+)"), 1), "")
+    return F.array_distinct(F.regexp_extract_all(runs, F.lit(f"([0-9a-f]{{{SHORT}}})"), 1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Dice coefficient of two leaf sets."""
     return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
@@ -98,11 +104,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A document's tree is built
     once, before it goes to its neighbour; only the edited text needs another."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = rows.select("doc_id", "text", tree(F.col("text")).alias("t")).select("doc_id", "text", fingerprint(F.col("t")).alias("fingerprint"), leaf_set(F.col("t")).alias("leaves"))
+    own = rows.select("doc_id", "text", tree(F.col("text")).alias("t")).select("doc_id", "text", fingerprint(F.col("t")).alias("fingerprint"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    pairs = with_next(own).select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "leaves", "next_leaves", edited.alias("edited"))
-    trees = pairs.select("doc_id", "n_chars", "fingerprint", "leaves", "next_leaves", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("e"))
+    pairs = with_next(own).select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
+    trees = pairs.select("doc_id", "n_chars", "fingerprint", printed_leaves(F.col("fingerprint")).alias("leaves"), printed_leaves(F.col("next_fingerprint")).alias("next_leaves"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("e"))
     flat = trees.select("doc_id", "n_chars", "edited_sha256", "fingerprint", fingerprint(F.col("e")).alias("edited_fingerprint"), "leaves", "next_leaves", leaf_set(F.col("e")).alias("el"))
     return flat.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("leaves"), F.col("el")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"))
 
