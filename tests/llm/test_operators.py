@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -34,6 +35,47 @@ def test_token_files(spark, make, texts, tmp_path):
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
 
 
+def test_token_units_equal_the_library(monkeypatch):
+    """Pairs of Latin-1, marks that join capitals, special tokens, NULs and long units, across chunks and forgotten units."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, known = np.random.default_rng(7), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    odd = [*"abzJHTWYIK019 \n\t.,'\"_-|<>É×÷²ªµ«\xa0\x85\0\x1cİıΣςKÅ中😀ﬁ;\u2028가", *"\u0301\u0307\u030c\u0331\u0338", "'s", "'LL", "ДОМ", "<|endoftext|>", "<|ENDOFTEXT|>", "z" * 30, "Q" * 70]
+    texts = [None, "", *(chr(a) + chr(b) for a in range(256) for b in range(256)), *("".join(rng.choice(odd, n)) for n in rng.integers(1, 25, 4000)), None, ""]
+    want = [[*e.ids, 2] for e in known.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for kept, chunk in ((token_files.KEPT, token_files.CHUNK), (500, 2000), (500, 1)):
+        monkeypatch.setattr(token_files, "KEPT", kept)
+        monkeypatch.setattr(token_files, "CHUNK", chunk)
+        encoder, step = token_files.UnitEncoder(P.path("word_bpe_49k.json")), 7000
+        for a in range(0, len(texts), step) if chunk > 1 else [len(texts) - 800]:
+            ids, counts = encoder.encode(pa.array(["before", *texts[a : a + step]]).slice(1), 2)
+            assert counts.tolist() == [len(w) for w in want[a : a + step]]
+            assert ids.tolist() == [i for w in want[a : a + step] for i in w]
+
+
+def test_known_words_are_not_taken_one_by_one():
+    """Texts of known words take less time than parting them into words in Python would: it was about twice that."""
+    import pyarrow as pa
+
+    rng, encoder = np.random.default_rng(1), token_files.UnitEncoder(P.path("word_bpe_49k.json"))
+    parts = ["an", "ter", "of", "ing", "re", "th", "on", "is", "ed", "al", "per", "com"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(30000)]
+    texts = [" ".join(w + "," * (k % 9 == 0) for k, w in enumerate(rng.choice(words, 3000))) for _ in range(100)]
+    column = pa.array(texts)
+    encoder.encode(column, 2)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: encoder.encode(column, 2)) < least(lambda: [re.findall(r"\w+|[^\w\s]+", t) for t in texts])
+
+
 def test_byte_bpe(make, texts):
     import tiktoken
 

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm import common
+from vellum.llm import common, packed
 
-#: Entries a worker keeps of its cache of encoded words (two generations), and the longest word that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 220_000, 48
+#: Units a worker keeps the ids of before it forgets those that didn't recur, and 64-bit integers of the units kept.
+KEPT, WIDTHS = 700_000, (1, 3, 8)
+#: About how many bytes of text are looked up at once.
+CHUNK = 1 << 20
 #: Rows of an ORC row group, bytes of a stripe, false positives of the Bloom filter.
 ROW_GROUP, STRIPE_BYTES, BLOOM_FPP = 1000, 16 << 20, 0.01
 
@@ -38,101 +40,275 @@ FILE_SCHEMA = T.StructType([
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w²³¹¼½¾]|_)+")
 #: Characters that Python's classes and the vocabulary's see differently.
 ODD = "\x1c\x1d\x1e\x1f"
-#: Marks that often end a word: pieces of their own unless they stand beside another mark.
-MARKS = ".,;:!?"
-BESIDE = re.compile(r"[.,;:!?](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,;:!?]")
+#: Classes of bytes: white space, letters, digits, marks, and what holds on to its neighbours: apostrophes, NULs, bytes that Python and
+#: the vocabulary might read differently, and all that isn't ASCII until it is known to be a letter.
+SPACE, LETTER, DIGIT, MARK, HOLD = range(5)
+CLASS = bytes(HOLD if c > 127 or chr(c) in ODD + "'\0" else SPACE if chr(c).isspace() else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK for c in range(256))
+#: The same where a special token may be.
+CLASS_SPECIAL = bytes(HOLD if chr(c) in "<|>" else k for c, k in enumerate(CLASS))
+
+
+def _edges(a: int, b: int) -> int:
+    """Between bytes of two classes: 1 where a unit begins, 2 where one ends."""
+    if SPACE in (a, b):
+        return (b != SPACE) + 2 * (a != SPACE)
+    return 0 if HOLD in (a, b) or a == b != DIGIT else 3
+
+
+#: By the classes of both sides, eight times the left one plus the right one.
+EDGES = bytes(_edges(i >> 3, i & 7) for i in range(5 << 3)).ljust(256, b"\0")
 #: Pieces that one call of the library encodes together, and such calls at a time.
 RUN, RUNS = 500, 16
 
 
-class WordCachedEncoder:
-    """Whole texts through the `tokenizers` library, a word at a time.
+class Units:
+    """Places of byte strings of at most 8 * width bytes, of which none ends with a NUL: a string is its bytes as `width`
+    integers, all of which are compared, so no two share a place. Open addressing with linear probing."""
+
+    def __init__(self, width: int):
+        self.width, self.n = width, 0
+        self._room(1 << 12)
+
+    def _room(self, room: int) -> None:
+        keys = getattr(self, "keys", np.empty((self.width, 0), np.uint64))[:, : self.n]
+        self.keys = np.empty((self.width, room), np.uint64)
+        self.keys[:, : self.n] = keys
+        for name, kind in (("start", np.int64), ("count", np.int64), ("hit", bool)):
+            old = getattr(self, name, np.empty(0, kind))[: self.n]
+            setattr(self, name, np.zeros(room, kind))
+            getattr(self, name)[: self.n] = old
+        self.shift = np.uint64(64 - (2 * room - 1).bit_length())
+        self.slots = np.full(1 << (2 * room - 1).bit_length(), -1, np.int32)
+        self._place(np.arange(self.n, dtype=np.int32))
+
+    def mixed(self, keys: np.ndarray) -> np.ndarray:
+        out = keys[0]
+        for k in keys[1:]:
+            out = (out ^ (out >> np.uint64(32))) * packed.GOLDEN + k
+        return (out ^ (out >> np.uint64(29))) * packed.GOLDEN
+
+    def _place(self, places: np.ndarray) -> None:
+        at = (self.mixed(self.keys[:, places]) >> self.shift).astype(np.int64)
+        while len(places):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = places[free]  # of those that want one slot the last stays
+            put = self.slots[at] == places
+            places, at = places[~put], (at[~put] + 1) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """The place of each string; -1 for others."""
+        at = (mixed >> self.shift).astype(np.int64)
+        out = self.slots[at]
+        there = self.keys[0][out] == keys[0]
+        for own, k in zip(self.keys[1:], keys[1:], strict=True):
+            there &= own[out] == k
+        todo = np.flatnonzero(~there & (out >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            out[todo] = place = self.slots[at[todo]]
+            there = (self.keys[:, place] == keys[:, todo]).all(0)
+            todo = todo[~there & (place >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Distinct strings that have no place yet get the next places; their ids begin at `start` of the store."""
+        n = self.n + keys.shape[1]
+        while n > self.keys.shape[1]:
+            self._room(2 * self.keys.shape[1])
+        self.keys[:, self.n : n], self.start[self.n : n], self.count[self.n : n] = keys, start, count
+        places = np.arange(self.n, n, dtype=np.int32)
+        self.n = n
+        self._place(places)
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The integers start..start+count-1 of each pair, one after another."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
-    The vocabulary's pre-tokeniser never joins characters across white space, so a text's ids are its
-    space- or newline-separated words' ids in order; each distinct word is encoded once and remembered. Words of Latin-1
-    are parted into the pre-tokeniser's pieces, of which the library encodes many at once: a piece ends where a token
-    with the end-of-word suffix is. Other words go to the library one by one.
+
+class UnitEncoder:
+    """Whole texts through the `tokenizers` library, a unit at a time.
+
+    A unit is a stretch of a text at whose ends the vocabulary's pre-tokeniser always parts: a run of letters or of marks, a
+    digit, or more where an apostrophe or a character beyond the known ones is involved. A text's ids are its units' ids
+    in order; each distinct unit is encoded once and remembered by its bytes, many of them looked up at once. The library
+    gets the pieces of units of Latin-1 as the vocabulary's normaliser and pattern would leave them; such a piece ends where
+    a token with the end-of-word suffix is. Other units go to the whole of the library one by one.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Pieces come in lower case, composed and parted: done again for each, that is most of the library's time.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.tables = [Units(w) for w in WIDTHS]
+        self.store, self.stored = np.empty(1 << 16, np.uint32), 0
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _forget(self) -> None:
+        """Keeps the units that were met again since the last time, or none if they are too many."""
+        old, store = self.tables, self.store
+        self.clear()
+        again = [np.flatnonzero(t.hit[: t.n]) for t in old]
+        if sum(map(len, again)) < 0.75 * KEPT:
+            for new, t, at in zip(self.tables, old, again, strict=True):
+                new.add(t.keys[:, at], self._put(store[_runs(t.start[at], t.count[at])], t.count[at]), t.count[at])
+
+    def _put(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Where in the store the ids of each unit begin, once they are all there."""
+        if self.stored + len(ids) > len(self.store):
+            store = np.empty(2 * (self.stored + len(ids)), np.uint32)
+            store[: self.stored] = self.store[: self.stored]
+            self.store = store
+        self.store[self.stored : self.stored + len(ids)] = ids
+        self.stored += len(ids)
+        return self.stored - len(ids) + np.cumsum(counts) - counts
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and where those of each end."""
+        out, ends, n = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
         for a in range(0, len(pieces), RUN * RUNS):
             runs = [pieces[i : i + RUN] for i in range(a, min(a + RUN * RUNS, len(pieces)), RUN)]
-            for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-                ids = np.asarray(e.ids, "<u4")
-                at = np.flatnonzero(self.ends[ids]) + 1
-                if len(at) != len(run):
+            for run, e in zip(runs, self.plain.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                out.append(np.asarray(e.ids, np.uint32))
+                ends.append(np.flatnonzero(self.ends[out[-1]]) + 1 + n)
+                if len(ends[-1]) != len(run):
                     raise ValueError("a piece doesn't end with the end-of-word suffix")
-                raw = ids.tobytes()
-                out.update(zip(run, (raw[a:b] for a, b in zip([0, *(at[:-1] * 4).tolist()], (at * 4).tolist(), strict=True)), strict=True))
-        return out
-
-    def _learn(self, words: list[str], odd: list[str]) -> dict[str, bytes]:
-        """Ids of words that the cache doesn't hold, and of their pieces. The first are of Latin-1 and lower case."""
-        cache = self.cache
-        whole = [w for w in words if w.isalpha()]  # their own only piece
-        parts = {w: PIECES.findall(w) for w in set(words).difference(whole)}
-        fresh = set().union(*parts.values()).difference(whole)
-        made = self._encode_pieces([*whole, *sorted(p for p in fresh if p not in cache)])
-        for w, ps in parts.items():
-            made[w] = b"".join([made[p] if p in made else cache[p] for p in ps])
+                n += len(out[-1])
+        return np.concatenate(out), np.concatenate(ends)
+
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the store the ids of units are, and how many."""
+        odd = [i for i, u in enumerate(units) if _is_odd(u)] if _is_odd(" ".join(units)) else []
+        parts = [[u.lower()] if u.isascii() and u.isalpha() else PIECES.findall(u.lower()) for u in units]
+        for i in odd:
+            parts[i] = []
+        ids, ends = self._encode_pieces([p for ps in parts for p in ps])
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
+        counts = np.diff(bounds)
+        start = self._put(ids, counts)
         for a in range(0, len(odd), RUN):
-            made |= {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(odd[a : a + RUN], self.tokenizer.encode_batch_fast(odd[a : a + RUN], add_special_tokens=False), strict=True)}
-        return made
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {"": b""}
-        cache, passing = self.cache, {}
-        odd = [bool(t) and _is_odd(t) for t in texts]
-        # The vocabulary ignores case; lowering is left to the library where Python's might differ or make a special token.
-        rows = [(t if o else _parted(t.lower())).replace("\n", " ").split(" ") if t else [] for t, o in zip(texts, odd, strict=True)]
-        plain = common.unseen([r for r, o in zip(rows, odd, strict=True) if not o], cache, self.older)
-        other = set(common.unseen([r for r, o in zip(rows, odd, strict=True) if o], cache, self.older)).difference(plain)
-        for w, ids in self._learn(plain, list(other)).items():
-            (cache if len(w) <= CACHE_CHARS else passing)[w] = ids
-        if passing:
-            return [b"".join([cache[w] if w in cache else passing[w] for w in words]) for words in rows]
-        return [b"".join(map(cache.__getitem__, words)) for words in rows]
-
-
-def _is_odd(text: str) -> bool:
-    """Whether a text isn't of Latin-1, may hold a special token, or has characters that are read differently."""
-    if "<|" in text or any(c in text for c in ODD):
+            at = odd[a : a + RUN]
+            made = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([units[i] for i in at], add_special_tokens=False)]
+            counts[at] = list(map(len, made))
+            start[at] = self._put(np.concatenate(made), counts[at])
+        return start, counts
+
+    def _look_up(self, table: Units, data: bytes, keys: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the store the ids of units of one table are, and how many."""
+        mixed = table.mixed(keys)
+        place = table.find(keys, mixed)
+        new = np.flatnonzero(place < 0)
+        table.hit[place] = True  # with the last place for -1: one unit may be kept for nothing
+        while len(new):  # more than once only if different units have one hash
+            one = new[np.unique(mixed[new], return_index=True)[1]]
+            table.add(keys[:, one], *self._learn(_units(data, first[one], length[one])))
+            place[new] = table.find(keys[:, new], mixed[new])
+            new = new[place[new] < 0]
+        return table.start[place], table.count[place]
+
+    def _encode_chunk(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units of a chunk of UTF-8, and how many of them lie before each of the ascending `cuts`, at which units end."""
+        if sum(t.n for t in self.tables) > KEPT:
+            self._forget()
+        raw = np.frombuffer(data, np.uint8)
+        kinds = np.zeros(len(data) + 2, np.uint8)
+        special = b"<|" in data
+        kinds[1:-1] = np.frombuffer(data.translate(CLASS_SPECIAL if special else CLASS), np.uint8)
+        c3 = np.flatnonzero(raw == 0xC3)
+        c3 = c3[(raw[c3 + 1] != 0x97) & (raw[c3 + 1] != 0xB7)] + 1  # Latin-1 but the signs of multiplication and division
+        kinds[c3] = kinds[c3 + 1] = LETTER
+        edges = np.frombuffer(((kinds[:-1] << 3) | kinds[1:]).tobytes().translate(EDGES), np.uint8)
+        begins, ends = (edges & 1).view(bool), (edges & 2).view(bool)
+        begins[cuts] |= kinds[cuts + 1] != SPACE
+        ends[cuts] |= kinds[cuts] != SPACE
+        first = np.flatnonzero(begins)
+        length = np.flatnonzero(ends) - first
+        # The vocabulary ignores case; capitals stay where they may belong to a special token or a mark may join them.
+        low = np.zeros(len(data) + 8 * WIDTHS[-1] + 8, np.uint8)
+        low[: len(data)] = raw if special else np.frombuffer(data.lower(), np.uint8)
+        beyond = np.flatnonzero(raw >= 0xC4)
+        beyond = beyond[beyond > 0] - 1
+        low[beyond] = raw[beyond]
+        text = low.tobytes()
+        eights = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+        start, count = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        words = (length + 7) >> 3
+        if b"\0" in data:
+            at = np.concatenate([[0], np.cumsum(raw == 0)])
+            words[at[first + length] > at[first]] = WIDTHS[-1] + 1
+        narrow = 0
+        for width, table in zip(WIDTHS, self.tables, strict=True):
+            at = np.flatnonzero((words > narrow) & (words <= width))
+            if len(at):
+                f, n = first[at], length[at]
+                keys = np.stack([eights[f + 8 * k] & packed.MASKS[np.clip(n - 8 * k, 0, 8)] for k in range(width)])
+                start[at], count[at] = self._look_up(table, text, keys, f, n)
+            narrow = width
+        at = np.flatnonzero(words > narrow)  # too long to be kept
+        held = self.stored
+        if len(at):
+            units, of = np.unique(np.array(_units(text, first[at], length[at]), object), return_inverse=True)
+            made = self._learn(units.tolist())
+            start[at], count[at] = made[0][of], made[1][of]
+        ids = self.store[_runs(start, count)]
+        self.stored = held
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(first, cuts)]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the id `end`, and how many each has with it. A null is an empty text."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        whole, offsets = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]], offsets - offsets[0]
+        out, before, a, n = [np.empty(0, np.uint32)], np.zeros(len(offsets), np.int64), 0, 0
+        while a < len(whole):
+            b = _cut_after(whole, a + CHUNK)
+            inside = slice(*np.searchsorted(offsets, [a, b], "left"))
+            ids, before[inside] = self._encode_chunk(bytes(whole[a:b]), offsets[inside] - a)
+            before[inside] += n
+            out.append(ids)
+            a, n = b, n + len(ids)
+        before[np.searchsorted(offsets, a) :] = n
+        return np.insert(np.concatenate(out), before[1:], end), np.diff(before) + 1
+
+
+def _units(data: bytes, first: np.ndarray, length: np.ndarray) -> list[str]:
+    """Units as strings: none holds a blank."""
+    return b" ".join([data[a : a + n] for a, n in zip(first.tolist(), length.tolist(), strict=True)]).decode().split(" ")
+
+
+def _cut_after(data: memoryview, at: int) -> int:
+    """The next place from `at` on where a text can be cut: at a space or a line's end, or after a digit before a letter or digit; or the end."""
+    while at < len(data):
+        found = re.search(rb"[ \n]|(?<=[0-9])(?=[0-9A-Za-z])", data[at : at + CHUNK])
+        if found:
+            return at + found.start()
+        at += CHUNK
+    return len(data)
+
+
+def _is_odd(unit: str) -> bool:
+    """Whether a unit isn't of Latin-1, may hold a special token, or has characters that are read differently."""
+    if "<|" in unit or any(c in unit for c in ODD):
         return True
     try:
-        return not text.isascii() and not text.encode("latin-1")
+        return not unit.isascii() and not unit.encode("latin-1")
     except UnicodeEncodeError:
         return True
 
 
-def _parted(text: str) -> str:
-    """A text of Latin-1 with spaces around the marks that end words, so that words come without them; one in which such a mark
-    stands beside another stays as it is."""
-    if not BESIDE.search(text):
-        for mark in MARKS:
-            text = text.replace(mark, f" {mark} ")
-    return text
-
-
-def encoder_of(path: str) -> WordCachedEncoder:
+def encoder_of(path: str) -> UnitEncoder:
     """One a Python worker: what a task has learnt serves the next."""
-    return common.held(("tokens", path), lambda: WordCachedEncoder(path))
+    return common.held(("tokens", path), lambda: UnitEncoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -144,7 +320,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, block
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = blocks or 4 * common.partitions(spark)
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         encoder, block, total = encoder_of(vocabulary), None, 0
@@ -152,16 +327,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, block
             texts = batch.column("text")
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for a, b in common.slices(lengths):
-                ids = [x + end for x in encoder.encode(texts.slice(a, b - a).to_pylist())]
-                counts = [len(x) // 4 for x in ids]
+                ids, counts = encoder.encode(texts.slice(a, b - a), end_id)
                 starts = []
-                for k, n in zip(batch.column("block").slice(a, b - a).to_pylist(), counts, strict=True):
+                for k, n in zip(batch.column("block").slice(a, b - a).to_pylist(), counts.tolist(), strict=True):
                     if k != block:
                         block, total = k, 0
                     starts.append(total)
                     total += n
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+                flat = pa.array(ids.view(np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=FILE_SCHEMA.names)
 
     placed = rows.withColumn("block", common.ordered_blocks(rows, "doc_id", blocks, spread="text")).select("block", "doc_id", "text")
