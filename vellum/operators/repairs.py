@@ -50,15 +50,21 @@ def typography(docs: DataFrame, book: str, language: Column, conventions: DataFr
 
 
 def joined_hyphens(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """(source, doc_id, text, joined): hyphens taken out of the words (source, lhs, rhs) that were decided to be broken, in
-    either case of their letters. Only hyphens go: the letters stay as they are, which `only_hyphens_went` tests."""
-    pairs = F.regexp_extract_all("text", F.lit(r"(?s)([\p{L}\p{N}]+-[\p{L}\p{N}]+|[\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), 1)
-    words = decided.groupBy("source").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("-", "lhs", "rhs"), F.lit(True)))).alias("broken"))  # a book's own
-    found = docs.join(words, "source", "left").withColumn("parts", pairs)
-    is_broken = lambda p: F.coalesce(F.try_element_at(F.col("broken"), F.lower(p)), F.lit(False))
-    made = found.withColumn("parts", F.transform("parts", lambda p: F.when(is_broken(p), F.replace(p, F.lit("-"), F.lit(""))).otherwise(p)))
-    out = made.withColumn("after", F.array_join("parts", ""))
-    return out.select("source", "doc_id", F.coalesce("after", "text").alias("text"), F.coalesce(F.length(docs["text"]) - F.length("after"), F.lit(0)).alias("joined"))
+    """(source, doc_id, before, text, joined): hyphens taken out of the words (source, lhs, rhs) that were decided to be broken,
+    in either case of their letters. Only hyphens go: the letters stay as they are, which `only_hyphens_went` tests.
+
+    A text's own hyphenated words are met with the decided ones by a join, so that no text carries its book's whole list.
+    """
+    hyphenated = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+-[\p{L}\p{N}]+)"), 1), lambda p: F.lower(p)))
+    wanted = decided.select("source", F.concat_ws("-", "lhs", "rhs").alias("pair")).distinct()
+    met = docs.select("source", F.col("doc_id").alias("__id"), F.explode(hyphenated).alias("pair")).join(wanted, ["source", "pair"], "left_semi")
+    own = met.groupBy(F.col("source").alias("__source"), "__id").agg(F.collect_set("pair").alias("broken"))
+    found = docs.join(own, (F.col("source") == F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    parts = F.regexp_extract_all("text", F.lit(r"(?s)([\p{L}\p{N}]+-[\p{L}\p{N}]+|[\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), 1)
+    made = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("-")) & F.array_contains("broken", F.lower(p)), F.replace(p, F.lit("-"), F.lit(""))).otherwise(p))
+    after = F.when(F.col("broken").isNotNull(), F.array_join(made, "")).otherwise(F.col("text"))
+    out = found.select("source", "doc_id", F.col("text").alias("before"), after.alias("text"))
+    return out.withColumn("joined", F.coalesce(F.length("before") - F.length("text"), F.lit(0)))
 
 
 def only_hyphens_went(before: Column, after: Column) -> Column:

@@ -157,8 +157,7 @@ def _joined(spark, sf):
     docs = registry._broken(_t(spark, sf, "documents")).where("source IS NOT NULL")
     sure = library.hyphen_candidates(docs).where("confidence = 'confirmed'")
     out = repairs.joined_hyphens(docs.select("source", "doc_id", "text"), sure.select("source", "lhs", "rhs"))
-    both = out.join(docs.select("doc_id", F.col("text").alias("before")), "doc_id")
-    return both.select("doc_id", F.sha2("text", 256).alias("digest"), "joined", repairs.only_hyphens_went(F.col("before"), F.col("text")).alias("conserved"))
+    return out.select("doc_id", F.sha2("text", 256).alias("digest"), "joined", repairs.only_hyphens_went(F.col("before"), F.col("text")).alias("conserved"))
 
 
 _hyphens = registry.HYPHENS_SQL
