@@ -202,7 +202,9 @@ _q("toc_rendered", lambda s, d: outline.rendered(_points(s, d).withColumn("path"
    f"""WITH {POINTS_SQL}, x AS (SELECT *, depth - coalesce(lag(depth) OVER (PARTITION BY book ORDER BY pre), -1) AS deeper, CASE WHEN pre % 3 = 0 THEN '<span>p' || p || '</span>' ELSE '<a href="f' || p || CASE WHEN p % 2 = 0 THEN '#a' || p ELSE '' END || '">p' || p || '</a>' END AS entry FROM pts)
 SELECT book, string_agg(CASE WHEN deeper > 0 THEN '<ol>' ELSE '</li>' || repeat('</ol></li>', -deeper) END || '<li>' || entry, '' ORDER BY pre) || '</li></ol>' || repeat('</li></ol>', arg_max(depth, pre)) AS html FROM x GROUP BY book""")
 _junk = "CASE p_partkey % 6 WHEN 0 THEN 'a/Thumbs.db' WHEN 1 THEN 'chapter' || CAST(p_partkey AS STRING) || '.bak' WHEN 2 THEN '__MACOSX/x' WHEN 3 THEN 'x/._a.png' WHEN 4 THEN 'thumbs.db.txt' ELSE 'c.html' END"
-_q("junk_files", lambda s, d: (lambda f: outline.junk(f, f.where(F.col("n") % 4 == 0), f.where(F.col("n") % 9 == 0)))(_t(s, d, "part").select(F.col("p_partkey").alias("n"), F.concat("p_brand", "p_partkey").alias("book"), F.expr(_junk).alias("path"))),
+# A book is a part, whose brand and key read alike for some: `Brand#2` and 34, `Brand#23` and 4. They stay apart.
+_junk_of = lambda f: outline.junk(f, f.where("book.p_partkey % 4 = 0"), f.where("book.p_partkey % 9 = 0"))
+_q("junk_files", lambda s, d: _junk_of(_t(s, d, "part").select(F.struct("p_brand", "p_partkey").alias("book"), F.expr(_junk).alias("path"))).select(F.concat("book.p_brand", "book.p_partkey").alias("book"), "path", "kept"),
    f"SELECT p_brand || p_partkey AS book, {_junk} AS path, p_partkey % 4 = 0 OR p_partkey % 9 = 0 AS kept FROM part WHERE p_partkey % 6 < 4")
 _q("unmovable_files", lambda s, d: outline.unmovable(_t(s, d, "part").selectExpr("p_brand AS book", "'d/n' || p_partkey || '.json' AS path", "p_partkey % 3 = 0 AS understood", "'load(\"../n' || (p_partkey + 25) || '.json\")' AS text")),
    """WITH f AS (SELECT p_brand AS book, 'd/n' || p_partkey || '.json' AS path, 'n' || p_partkey || '.json' AS base, p_partkey % 3 = 0 AS understood, 'n' || (p_partkey + 25) || '.json' AS said FROM part), m AS (SELECT a.book, a.path, b.path AS target FROM f a JOIN f b ON a.book = b.book AND a.said = b.base WHERE NOT a.understood)
