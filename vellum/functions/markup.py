@@ -65,7 +65,7 @@ def without_notices(text: Column) -> Column:
     `@` or `#`. What is left on either side stays if it reads as prose. A null text gives nothing kept and nothing removed.
     """
     phrase = "|".join(sorted(SHOP, key=len, reverse=True)).replace(" ", r"\s+")
-    sentences = F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n+"), lambda s: F.trim(s)), lambda s: s != "")  # F.trim alone would take a sentence's number for the letters to trim
 
     def cut(s: Column) -> Column:
         part = lambda k: F.regexp_extract(s, rf"(?is)^(.*?)({phrase})((?:[\s.,:;–—-]*[^\s\d@#]*[\d@#]\S*[\s.,:;]*)*)(.*)$", k)
