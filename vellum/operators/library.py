@@ -93,11 +93,12 @@ def hyphen_candidates(docs: DataFrame) -> DataFrame:
     a, b = F.col("lhs"), F.col("rhs")
     never = F.rlike(F.concat(a, b), F.lit(r"\p{N}")) | (F.substring(b, 1, 1) != F.lower(F.substring(b, 1, 1))) | ((a == F.upper(a)) & (a != F.lower(a))) | (F.length(a) == 1) | (F.length(b) == 1) | (F.lower(a) == F.lower(b))
     kept = halves.where(~never).groupBy("source", F.lower("lhs").alias("lhs"), F.lower("rhs").alias("rhs")).agg(F.sum("n").alias("n"))
-    wanted = kept.select("source", F.explode(F.array(F.concat("lhs", "rhs"), F.col("lhs"))).alias("word")).distinct()
-    counts = vocabulary(docs, wanted)
-    joined, alone = counts.select("source", F.concat("word").alias("w1"), F.col("n").alias("joined")), counts.select("source", F.col("word").alias("lhs"), F.col("n").alias("alone"))
+    # Both looks at a book's words are one join, so that texts are cut into words once.
+    asked = kept.select("*", F.explode(F.array(F.struct(F.concat("lhs", "rhs").alias("word"), F.lit(True).alias("whole")), F.struct(F.col("lhs").alias("word"), F.lit(False).alias("whole")))).alias("a")).select("source", "lhs", "rhs", "n", "a.word", "a.whole")
+    counts = words(docs, "source").groupBy("source", "word").agg(F.count("*").alias("c"))
+    met = asked.join(counts, ["source", "word"], "left").groupBy("source", "lhs", "rhs", "n")
+    out = met.agg(F.max(F.when(F.col("whole"), F.col("c"))).alias("joined"), F.max(F.when(~F.col("whole"), F.col("c"))).alias("alone"))
     # The half before the hyphen is itself cut out as a word once for every hyphenation, which is no use on its own.
-    out = kept.withColumn("w1", F.concat("lhs", "rhs")).join(joined, ["source", "w1"], "left").join(alone, ["source", "lhs"], "left")
     out = out.select("source", "lhs", "rhs", "n", F.coalesce("joined", F.lit(0)).alias("joined"), F.greatest(F.coalesce("alone", F.lit(0)) - F.col("n"), F.lit(0)).alias("alone"))
     return out.withColumn("confidence", F.when(F.col("joined") >= 1, "confirmed").when(F.col("n") > 3, "kept").when(F.col("alone") == 0, "likely").otherwise("uncertain"))
 
