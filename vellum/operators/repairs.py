@@ -74,10 +74,11 @@ def only_hyphens_went(before: Column, after: Column) -> Column:
 def review_questions(candidates: DataFrame, shown: int = 40) -> DataFrame:
     """(source, confidence, words, shown, question): one question for all weaker candidates of a book, with the first words."""
     weaker = candidates.where(F.col("confidence").isin("likely", "uncertain")).withColumn("word", F.concat_ws("-", "lhs", "rhs"))
-    first = weaker.withColumn("k", F.row_number().over(Window.partitionBy("source", "confidence").orderBy("word"))).where(F.col("k") <= shown)
-    listed = first.groupBy("source", "confidence").agg(F.array_join(F.array_sort(F.collect_list("word")), ", ").alias("shown"))
-    counts = weaker.groupBy("source", "confidence").agg(F.count("*").alias("words"))
-    return counts.join(listed, ["source", "confidence"]).withColumn("question", question_id(F.lit("hyphen"), F.col("source"), F.concat_ws(":", "confidence", "words"), F.lit("join")))
+    # Candidates are made once and a book's are never one list: parts of it are counted and cut first.
+    cut = lambda words: F.slice(F.array_sort(words), 1, shown)
+    part = weaker.groupBy("source", "confidence", F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.count("*").alias("n"), cut(F.collect_list("word")).alias("first"))
+    listed = part.groupBy("source", "confidence").agg(F.sum("n").alias("words"), F.array_join(cut(F.flatten(F.collect_list("first"))), ", ").alias("shown"))
+    return listed.withColumn("question", question_id(F.lit("hyphen"), F.col("source"), F.concat_ws(":", "confidence", "words"), F.lit("join")))
 
 
 def question_id(kind: Column, where: Column, subject: Column, summary: Column) -> Column:
