@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import markup
 from vellum.functions import text as tx
+from vellum.sources import batches
 
 # Properties that decide how a page looks.
 VISIBLE_PROPERTIES = [
@@ -140,18 +141,30 @@ def order_survives(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("book", F.aggregate("b", start, step, lambda s: s["lost"]).alias("out_of_order"))
 
 
+def matching(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of two lists that correspond by the longest matching blocks. Where nothing repeats on its side and what is shared
+    comes in one order, these blocks hold all that is shared, which a look-up finds."""
+    at = {v: j for j, v in enumerate(y)}
+    if len(at) == len(y) and len(set(x)) == len(x):
+        pairs = [(i, at[v]) for i, v in enumerate(x) if v in at]
+        if all(p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False)):
+            return pairs
+    return [(m.a + k, m.b + k) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(m.size)]
+
+
 def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
     """(book, before_ord, after_ord): documents of two reading orders (book, ord, opening) that correspond, by the longest
-    matching blocks; what has no partner has none. A book's openings are compared in one call."""
+    matching blocks; what has no partner has none. A book's openings are one row, and Python takes many books at once."""
+    side = lambda s, kind: s.select(F.col("book").cast("string").alias("book"), F.lit(kind).alias("side"), F.struct(F.col("ord").cast("long").alias("ord"), "opening").alias("d"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("side") == kind, F.col("d")))).alias(kind)
+    books = side(before, "b").union(side(after, "a")).groupBy("book").agg(of("b"), of("a")).where((F.size("b") > 0) & (F.size("a") > 0))
+    names, types = ["book", "before_ord", "after_ord"], [pa.string(), pa.int64(), pa.int64()]
 
-    def pair(b: pa.Table, a: pa.Table) -> pa.Table:
-        b, a = b.sort_by("ord"), a.sort_by("ord")
-        x, y = b.column("opening").to_pylist(), a.column("opening").to_pylist()
-        rows = [(b.column("book")[m.a + k].as_py(), b.column("ord")[m.a + k].as_py(), a.column("ord")[m.b + k].as_py()) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(m.size)]
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("book", pa.string()), ("before_ord", pa.int64()), ("after_ord", pa.int64())))})
+    def pair(arrived):
+        every = ((book, b[i], a[j]) for batch in arrived for book, b, x, a, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, j in matching(x, y))
+        yield from batches.gathered(every, types, names)
 
-    side = lambda s: s.select(F.col("book").cast("string").alias("book"), F.col("ord").cast("long").alias("ord"), "opening").groupBy("book")
-    return side(before).cogroup(side(after)).applyInArrow(pair, "book string, before_ord long, after_ord long")
+    return books.select("book", "b.ord", "b.opening", "a.ord", "a.opening").toDF("book", "b", "x", "a", "y").mapInArrow(pair, "book string, before_ord long, after_ord long")
 
 
 def checks(**found: DataFrame) -> DataFrame:
