@@ -110,7 +110,7 @@ def _sheets(spark, sf):
     lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rule.alias("rule"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "rule"))), lambda r: r["rule"]), "\n")
     sheets = lines.groupBy("l_orderkey").agg(ordered.alias("css"))
-    return stylesheets.rules(sheets, "l_orderkey", "css").groupBy("selector", "prop", F.coalesce("condition", F.lit("")).alias("condition")).agg(F.count("*").alias("n"), F.count_if("important").alias("important"))
+    return stylesheets.rules(sheets, "l_orderkey", "css", ["selector", "condition", "prop", "important"]).groupBy("selector", "prop", F.coalesce("condition", F.lit("")).alias("condition")).agg(F.count("*").alias("n"), F.count_if("important").alias("important"))
 
 
 def _packages(spark, sf):
@@ -121,7 +121,7 @@ def _packages(spark, sf):
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("item"), ref.alias("ref"))))
     books = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("book")).agg(lines.alias("x"))
     made = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest>'), F.array_join("x.item", ""), F.lit("</manifest><spine>"), F.array_join("x.ref", ""), F.lit('<itemref idref="lost"/></spine></package>'))
-    return packages.packages(books.select("book", F.lit("ops/book.opf").alias("name"), made.cast("binary").alias("data")))
+    return books.select("book", F.lit("ops/book.opf").alias("name"), made.cast("binary").alias("data"))
 
 
 def _paragraphs(spark, sf):
@@ -142,7 +142,7 @@ def queries() -> dict:
         "css_cascade": _cascade,
         "css_inherited": _inherited,
         "css_rules": _sheets,
-        "package_reading_order": lambda s, d: packages.reading_order(_packages(s, d)),
+        "package_reading_order": lambda s, d: packages.reading_orders(_packages(s, d)),
         "pairs_by_place": _pairs,
         "spine_insertions": lambda s, d: sequences.next_held(_turns(s, d), "conv_id", "turn", "turn % 3 = 2"),
         "break_runs": lambda s, d: sequences.runs(_t(s, d, "events"), "user_id", "event_id", "value < 40"),
