@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.sources import batches
+
 #: A part each: `metadata` (name, value), `manifest` (id, path, media type), `spine` (id of a manifest item, linear).
 SCHEMA = "book string, part string, ord int, id string, name string, value string, path string, media_type string, fallback string, properties array<string>, linear boolean"
 NAV_SCHEMA = "book string, section string, pre int, parent int, depth int, label string, path string, fragment string"
@@ -100,11 +102,9 @@ def _mapped(documents: DataFrame, schema: str, read) -> DataFrame:
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     names, types = zip(*((f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")), strict=True)
 
-    def run(batches):
-        for batch in batches:
-            for book, where, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if rows := read(where, data):
-                    yield pa.RecordBatch.from_arrays([pa.array([book] * len(rows), types[0]), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))], names=list(names))
+    def run(arrived):
+        every = ((book, *row) for batch in arrived for book, where, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for row in read(where, data))
+        yield from batches.gathered(every, list(types), list(names))
 
     return documents.select("book", "name", "data").mapInArrow(run, schema)
 
@@ -121,8 +121,28 @@ def navigation(documents: DataFrame) -> DataFrame:
 
 def reading_order(parts: DataFrame) -> DataFrame:
     """(book, ord, path, linear): spine entries by their manifest item; a path is null where no item has the id."""
-    items = parts.where("part = 'manifest' AND id IS NOT NULL").groupBy("book", "id").agg(F.min_by("path", "ord").alias("path"))
-    return parts.where("part = 'spine'").select("book", "id", "ord", "linear").join(items, ["book", "id"], "left").select("book", "ord", "path", "linear")
+    item = (F.col("part") == "manifest") & F.col("id").isNotNull() & F.col("book").isNotNull()
+    # Both sides are one grouping, so that documents are parsed once.
+    met = parts.where("part IN ('manifest', 'spine')").groupBy("book", "id").agg(F.min_by(F.when(item, F.col("path")), F.when(item, F.col("ord"))).alias("path"), F.collect_list(F.when(F.col("part") == "spine", F.struct("ord", "linear"))).alias("s"))
+    return met.select("book", "path", F.explode("s").alias("s")).select("book", "s.ord", "path", "s.linear")
+
+
+def order_rows(where: str, data: bytes | None) -> list[tuple]:
+    """(ord, path, linear) of a package document's spine; of items with one id the first counts."""
+    root, items = _parse(data), {}
+    if root is None:
+        return []
+    of = {_local(e.tag): e for e in root}
+    for e in of.get("manifest", ()):
+        if _local(e.tag) == "item" and e.get("id") is not None:
+            items.setdefault(e.get("id"), e.get("href"))
+    refs = [x for x in of.get("spine", ()) if _local(x.tag) == "itemref"]
+    return [(i, _inside(where, items[x.get("idref")])[0] if items.get(x.get("idref")) else None, x.get("linear") != "no") for i, x in enumerate(refs)]
+
+
+def reading_orders(documents: DataFrame) -> DataFrame:
+    """What `reading_order` says of package documents (book, name, data), each resolved where it is parsed."""
+    return _mapped(documents, "book string, ord int, path string, linear boolean", order_rows)
 
 
 def violations(parts: DataFrame, points: DataFrame, entries: DataFrame) -> DataFrame:
