@@ -91,13 +91,16 @@ reached AS (SELECT DISTINCT src AS node FROM edges WHERE src LIKE 'p1%' AND leng
 
 
 def _reached(spark, sf):
-    edges = _graph(spark, sf)
+    return _reached_of(references._cut(_graph(spark, sf)))
+
+
+def _reached_of(edges):
     return references.reachable(edges, edges.where("src LIKE 'p1%' AND length(src) <= 3").select(F.col("src").alias("node")))
 
 
 def _orphans(spark, sf):
-    edges = _graph(spark, sf)
-    return references.orphans(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), _reached(spark, sf))
+    edges = references._cut(_graph(spark, sf))  # made once for its nodes and for every round
+    return references.orphans(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), _reached_of(edges))
 
 
 def _links(spark, sf):
